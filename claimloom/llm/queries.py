@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import groups, packing
+from claimloom.llm import groups, leakage, packing
 from claimloom.session import table
 
 
@@ -35,7 +35,20 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), capacities), capacities)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sizes, p7_packed, p7_unused)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry at least a third of an item's words in copied stretches."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each leaked item is in, and how much of it at most."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return leaks.groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.max("copied_words").alias("most_words"), F.round(F.max("alignment"), 4).alias("best_alignment")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items)}
 
 _P4 = """
 WITH RECURSIVE e AS (
