@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import groups, leakage, packing
+from claimloom.llm import areas, groups, leakage, packing
 from claimloom.session import table
 
 
@@ -48,7 +48,18 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of every document."""
+    return areas.document_areas(*(table(spark, sf_dir, t) for t in ("documents", "area_labels", "subject_areas")))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents and characters of each source fall to each area."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n")).dropDuplicates(["doc_id"])
+    return docs.join(p9_found(spark, sf_dir), "doc_id").groupBy("area", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
 
 _P4 = """
 WITH RECURSIVE e AS (
