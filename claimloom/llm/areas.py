@@ -53,6 +53,7 @@ class Settings:
     dim: int = 16
     batch: int = 256
     rate: float = 0.02
+    min_steps: int = 25
     min_count: int = 3
     min_sentences: int = 3
     held_out: float = 0.2
@@ -146,7 +147,9 @@ def _shard_steps(rows: list[np.ndarray], labels: np.ndarray, start: tuple[np.nda
     """One round of Adam steps over a shard's sentences."""
     params = [p.copy() for p in start]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    order = np.random.default_rng(seed).permutation(len(rows))
+    # small shards are passed over more than once
+    rng, passes = np.random.default_rng(seed), -(-s.min_steps * s.batch // max(1, len(rows)))
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(max(1, min(s.min_steps, passes)))])
     for step, at in enumerate(range(0, len(order), s.batch), 1):
         chosen = order[at : at + s.batch]
         sizes = np.array([len(rows[i]) for i in chosen])
