@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import areas, groups, leakage, packing
+from claimloom.llm import areas, groups, leakage, packing, pages
 from claimloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restored words, removed lines and joined pages of body elements."""
+    return pages.repair_pages(table(spark, sf_dir, "elements"))
+
+
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each kind of repair is made in each document."""
+    found = p3_found(spark, sf_dir)
+    ids = table(spark, sf_dir, "elements").select("element_id", "document_id").distinct()
+    return found.join(ids, "element_id").groupBy("document_id", "repair").agg(F.count(F.lit(1)).alias("n_pieces"), F.countDistinct("element_id").alias("n_elements"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every fact in a pair judged to be the same claim."""
     return groups.same_claim_groups(table(spark, sf_dir, "match_results"))
@@ -59,7 +71,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p9_found(spark, sf_dir), "doc_id").groupBy("area", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
 
 _P4 = """
 WITH RECURSIVE e AS (
