@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 
 from claimloom.session import Staged
 
-#: A word, or the end of a sentence or paragraph (group 1).
-_TOKENS = re.compile(r"[^\W\d_]+|((?<!\brs)(?<!\bno)(?<!\bdr)(?<!\bmr)[.!?]+(?=[\"'”’)\]]*(?:\s|$))|\n[ \t]*\n)")
+#: A word, or the end of a sentence or paragraph.
+_TOKENS = re.compile(r"[^\W\d_]+|(?<!\brs)(?<!\bno)(?<!\bdr)(?<!\bmr)[.!?]+(?=[\"'”’)\]]*(?:\s|$))|\n[ \t]*\n")
+_ENDS = ".!?\n"
 GRAM = 5
 MAX_CACHE = 400_000
 
@@ -71,9 +72,9 @@ def sentences_of(text: str | None) -> list[list[str]]:
     """The words of every sentence that has any."""
     out: list[list[str]] = [[]]
     if text:
-        for m in _TOKENS.finditer(text.lower()):
-            if m[1] is None:
-                out[-1].append(m[0])
+        for token in _TOKENS.findall(text.lower()):
+            if token[0] not in _ENDS:
+                out[-1].append(token)
             elif out[-1]:
                 out.append([])
     return [s for s in out if s]
@@ -102,10 +103,16 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.rows = 0
         self.table = np.zeros((1024, len(self.model.areas) + 1), np.float32)
 
     def _add(self, word: str) -> int:
-        at = self.index[word] = len(self.index)
+        """The row of a new word; all ends of sentences share row 0."""
+        if word[0] in _ENDS:
+            self.index[word] = 0
+            return 0
+        self.rows += 1
+        at = self.index[word] = self.rows
         if at >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         known = [k for f in features_of(word) if (k := self.model.vocabulary.get(f)) is not None]
@@ -118,24 +125,28 @@ class Scorer:
         """A mark per text and area."""
         if len(self.index) > MAX_CACHE:
             self.clear()
-        words: list[int] = []
-        starts: list[int] = []
-        counts: list[int] = []
-        get = self.index.get
+        ids: list[int] = []
+        ends: list[int] = []
+        index, add = self.index, self._add
         for text in texts:
-            sentences = sentences_of(text)
-            counts.append(len(sentences))
-            for s in sentences:
-                starts.append(len(words))
-                words += [get(w, -1) if w in self.index else self._add(w) for w in s]
+            if text:
+                ids += [index[t] if t in index else add(t) for t in _TOKENS.findall(text.lower())]
+            ids.append(0)
+            ends.append(len(ids))
+        rows = np.array(ids, np.int64)
+        word = rows > 0
+        places = np.flatnonzero(word)
+        # a sentence starts at the first word after an end
+        starts = np.flatnonzero(np.diff(np.cumsum(~word)[places], prepend=-1))
+        counts = np.diff(np.searchsorted(places[starts], [0, *ends])) if len(starts) else np.zeros(len(texts), int)
         marks = np.zeros((len(texts), len(self.model.areas)), bool)
-        if not starts:
+        if not len(starts):
             return marks
-        sums = np.add.reduceat(self.table[np.array(words)], np.array(starts), axis=0)
+        sums = np.add.reduceat(self.table[rows[places]], starts, axis=0)
         z = sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.model.bias
         limit = self.model.threshold if threshold is None else threshold
         about = z > np.log(limit / (1 - limit))
-        n = np.array(counts)
+        n = counts
         ends = np.concatenate([[0], np.cumsum(n)])
         total = np.concatenate([np.zeros((1, about.shape[1]), np.int64), np.cumsum(about, axis=0)])
         per_text = total[ends[1:]] - total[ends[:-1]]

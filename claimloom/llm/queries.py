@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import areas, groups, leakage, packing, pages
+from claimloom.llm import areas, groups, leakage, names, packing, pages
 from claimloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings of one company, person or predicate."""
+    return names.linked_spellings(table(spark, sf_dir, "facts"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity: how many spellings and facts, and its most frequent spelling."""
+    facts = table(spark, sf_dir, "facts")
+    groups_ = names.link_names(names.subject_names(facts))
+    counts = facts.groupBy(F.col("subject_name").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        groups_.join(counts, "s")
+        .groupBy("group_id")
+        .agg(F.max_by("s", F.struct("n", "s")).alias("usual_name"), F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_facts"))
+        .drop("group_id")
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored words, removed lines and joined pages of body elements."""
     return pages.repair_pages(table(spark, sf_dir, "elements"))
@@ -71,7 +89,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p9_found(spark, sf_dir), "doc_id").groupBy("area", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repairs, p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_repairs, p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
 
 _P4 = """
 WITH RECURSIVE e AS (
