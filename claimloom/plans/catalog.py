@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.plans import core_queries
+from claimloom.plans import claim_queries, claim_sql, core_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core_queries.QUERIES)
+    return core_queries.QUERIES | claim_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_queries.ORACLE)
+    return core_queries.ORACLE | claim_sql.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_queries.p5_found(spark, sf_dir)
+    return claim_queries.disputed_claims(spark, sf_dir)
