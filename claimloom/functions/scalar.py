@@ -3,12 +3,13 @@
 All are built-in expressions, so they stay inside whole-stage code generation.
 """
 
-from __future__ import annotations
-
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from claimloom.functions import vocab as V
 
@@ -82,17 +83,14 @@ def normalize_key(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC, which the JVM functions lack: an Arrow UDF, applied to non-ASCII values only."""
-    import unicodedata
-
-    import pandas as pd
+@F.pandas_udf(StringType())
+def _fold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), fold(c)).otherwise(c)
+def nfkc(c: Column) -> Column:
+    """NFKC, which the JVM functions lack: an Arrow UDF, applied to non-ASCII values only."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _fold(c)).otherwise(c)
 
 
 def underscore_key(c: Column) -> Column:
