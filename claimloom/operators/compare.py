@@ -81,12 +81,12 @@ def compatible_predicates() -> dict[str, list[str]]:
 
 def compatible(p: Column, q: Column) -> Column:
     """JN-7 for two normalised predicates that differ."""
-    return S.any_of([(p == k) & q.isin(*others) for k, others in compatible_predicates().items()])
+    return F.concat_ws("|", p, q).isin([f"{k}|{o}" for k, others in compatible_predicates().items() for o in others])
 
 
 def transition(p: Column, q: Column, table: list[tuple[str, str]]) -> Column:
     """MAT-4."""
-    return S.any_of([((p == x) & (q == y)) | ((p == y) & (q == x)) for x, y in table])
+    return F.concat_ws("|", p, q).isin([f"{x}|{y}" for a, b in table for x, y in ((a, b), (b, a))])
 
 
 def types_compatible(fa: Column, fb: Column, va: Column, vb: Column) -> Column:
@@ -150,48 +150,52 @@ def sig_scope() -> Column:
     return F.when((sa == "unknown") | (sb == "unknown"), "unknown").when(sa == sb, "same").otherwise("different")
 
 
-def value_signals(tolerance: float = 0.05) -> tuple[Column, Column]:
-    """CMP-6: (value, unit)."""
-    numeric = _a("value_type").isin(*NUMERIC) & _b("value_type").isin(*NUMERIC)
+def _value_parts(tolerance: float) -> dict[str, Column]:
+    """What the value and unit signals are decided by; computed once per pair."""
     va, vb = _a("value"), _b("value")
-    base_a, base_b = va * _a("mult"), vb * _b("mult")
-    clash = lambda k: _a(k).isNotNull() & _b(k).isNotNull() & (_a(k) != _b(k))
-    no_unit = _a("unit").isNull() & _b("unit").isNull()
-    unit = F.when(no_unit, "not_applicable").when(_a("unit").isNull() | _b("unit").isNull(), "missing").otherwise("same")
-    pa, pb = _a("value_type") == "percentage", _b("value_type") == "percentage"
-    as_share = (pa & ~pb & S.is_close(va / 100, base_b)) | (pb & ~pa & S.is_close(vb / 100, base_a))
-    bound = lambda q: (_a("bound") == q) | (_b("bound") == q)
-    a_is = lambda q: F.coalesce(_a("bound") == q, F.lit(False))
-    agrees = lambda c: F.when(c, "compatible").otherwise("different")
-    largest = F.greatest(F.abs(base_a), F.abs(base_b))
-    near = F.coalesce(F.try_divide(F.abs(base_a - base_b), largest), F.lit(0.0)) <= tolerance
-    respelled = _a("currency").isNotNull() & (_a("currency") == _b("currency")) & (_a("currency_raw") != _b("currency_raw"))
-    scaled = _a("mult") != _b("mult")
-    unit2 = F.when(F.coalesce(scaled | respelled, F.lit(False)), "converted").otherwise(unit)
-    identical = (va == vb) & ~scaled & (_a("currency_raw") == _b("currency_raw"))
-    bad_unit = clash("currency") | clash("unit")
-    value = (
-        F.when(~numeric & ((_a("text") == "") | (_b("text") == "")), "unknown")
-        .when(~numeric, F.when(_a("text") == _b("text"), "equal").otherwise("different"))
-        .when(va.isNull() | vb.isNull(), "unknown")
-        .when(bad_unit, "different")
-        .when(as_share, "equivalent")
-        .when(bound("greater_than"), agrees(F.when(a_is("greater_than"), base_b > base_a).otherwise(base_a > base_b)))
-        .when(bound("less_than"), agrees(F.when(a_is("less_than"), base_b < base_a).otherwise(base_a < base_b)))
-        .when(bound("approximate"), agrees(near))
-        .when(S.is_close(base_a, base_b), F.when(identical, "equal").otherwise("equivalent"))
-        .otherwise("different")
-    )
-    out_unit = (
-        F.when(~numeric, "not_applicable")
-        .when(va.isNull() | vb.isNull(), "unknown")
-        .when(bad_unit, "different")
-        .when(as_share, "converted")
-        .when(bound("greater_than") | bound("less_than") | bound("approximate"), unit)
-        .when(S.is_close(base_a, base_b), F.when(identical, "same").otherwise("converted"))
-        .otherwise(unit2)
+    clash = lambda k: F.coalesce(_a(k) != _b(k), F.lit(False))
+    has = lambda q: F.coalesce(_a("bound") == q, F.lit(False)) | F.coalesce(_b("bound") == q, F.lit(False))
+    return {
+        "_numeric": F.coalesce(_a("value_type").isin(*NUMERIC) & _b("value_type").isin(*NUMERIC), F.lit(False)),
+        "_va": va,
+        "_vb": vb,
+        "_x": va * _a("mult"),
+        "_y": vb * _b("mult"),
+        "_clash": clash("currency") | clash("unit"),
+        "_pa": _a("value_type") == "percentage",
+        "_pb": _b("value_type") == "percentage",
+        "_bound": F.when(has("greater_than"), ">").when(has("less_than"), "<").when(has("approximate"), "~"),
+        "_by_a": F.coalesce(F.when(has("greater_than"), _a("bound") == "greater_than").otherwise(_a("bound") == "less_than"), F.lit(False)),
+        "_scaled": _a("mult") != _b("mult"),
+        "_same_cur": _a("currency_raw") == _b("currency_raw"),
+        "_unit": F.when(_a("unit").isNull() & _b("unit").isNull(), "not_applicable").when(_a("unit").isNull() | _b("unit").isNull(), "missing").otherwise("same"),
+        "_tolerance": F.lit(tolerance),
+    }
+
+
+def value_signals() -> tuple[Column, Column]:
+    """CMP-6 on the parts: (value, unit)."""
+    c = F.col
+    agrees = lambda x: F.when(x, "compatible").otherwise("different")
+    share = (c("_pa") & ~c("_pb") & S.is_close(c("_va") / 100, c("_y"))) | (c("_pb") & ~c("_pa") & S.is_close(c("_vb") / 100, c("_x")))
+    near = F.coalesce(F.try_divide(F.abs(c("_x") - c("_y")), F.greatest(F.abs("_x"), F.abs("_y"))), F.lit(0.0)) <= c("_tolerance")
+    threshold, other = F.when(c("_by_a"), c("_x")).otherwise(c("_y")), F.when(c("_by_a"), c("_y")).otherwise(c("_x"))
+    identical = (c("_va") == c("_vb")) & ~c("_scaled") & c("_same_cur")
+    # a struct holds both signals, so each condition is evaluated once
+    both = lambda v, u: F.struct(F.lit(v).alias("v") if isinstance(v, str) else v.alias("v"), F.lit(u).alias("u") if isinstance(u, str) else u.alias("u"))
+    respelled = F.coalesce((_a("currency") == _b("currency")) & ~c("_same_cur"), F.lit(False))
+    pair = (
+        F.when(~c("_numeric"), both(F.when((_a("text") == "") | (_b("text") == ""), "unknown").when(_a("text") == _b("text"), "equal").otherwise("different"), "not_applicable"))
+        .when(c("_va").isNull() | c("_vb").isNull(), both("unknown", "unknown"))
+        .when(c("_clash"), both("different", "different"))
+        .when(share, both("equivalent", "converted"))
+        .when(c("_bound") == ">", both(agrees(other > threshold), c("_unit")))
+        .when(c("_bound") == "<", both(agrees(other < threshold), c("_unit")))
+        .when(c("_bound") == "~", both(agrees(near), c("_unit")))
+        .when(S.is_close(c("_x"), c("_y")), both(F.when(identical, "equal").otherwise("equivalent"), F.when(identical, "same").otherwise("converted")))
+        .otherwise(both("different", F.when(c("_scaled") | respelled, "converted").otherwise(c("_unit"))))
     )
-    return value, out_unit
+    return pair["v"], pair["u"]
 
 
 def sig_qualifiers(value: Column) -> Column:
@@ -208,11 +212,14 @@ def sig_qualifiers(value: Column) -> Column:
     )
 
 
-def compare(paired: DataFrame) -> DataFrame:
+def compare(paired: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """The eight signals of each pair."""
+    parts = _value_parts(tolerance)
     value, unit = value_signals()
-    out = paired.withColumns({"sig_subject": sig_subject(), "sig_predicate": sig_predicate(), "sig_fact_type": sig_fact_type(), "sig_time": sig_time(), "sig_scope": sig_scope(), "sig_value": value, "sig_unit": unit})
-    return out.withColumn("sig_qualifiers", sig_qualifiers(F.col("sig_value")))
+    out = paired.withColumns(parts).withColumns(
+        {"sig_subject": sig_subject(), "sig_predicate": sig_predicate(), "sig_fact_type": sig_fact_type(), "sig_time": sig_time(), "sig_scope": sig_scope(), "sig_value": value, "sig_unit": unit}
+    )
+    return out.drop(*parts).withColumn("sig_qualifiers", sig_qualifiers(F.col("sig_value")))
 
 
 def classify(compared: DataFrame) -> DataFrame:

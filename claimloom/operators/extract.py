@@ -46,9 +46,21 @@ def _fact(subject: Column, kind: Column, predicate: Column, value_type: Column,
     )
 
 
+# words without which a pattern cannot match: the patterns try every start for a subject, a plain word search does not
+_HINTS = {
+    APPOINTMENT: "(?i)appointed|resigned|stepped",
+    LOCATION: "(?i)located|headquartered|situated",
+    COMPOUND: "(?i)operates",
+    VERB: "(?i)operates|owns|acquired|launched|provides|serves",
+    REPORTED: r"(?i)(?:revenue|profit|loss|ebitda)\s+of",
+    STOOD_AT: "(?i)revenue|profit|loss|ebitda",
+}
+
+
 def _all(text: Column, pattern: str, build) -> Column:
     """An array of what ``build`` makes of each match; matches it makes null of are left out."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build), lambda x: x.isNotNull())
+    hinted = F.when(text.rlike(_HINTS[pattern]), text).otherwise("")
+    return F.filter(F.transform(F.regexp_extract_all(hinted, F.lit(pattern), F.lit(0)), build), lambda x: x.isNotNull())
 
 
 def _quantities_as_facts(subject: Column, predicate: Column, text: Column, time: Column, confidence: float) -> Column:
@@ -89,7 +101,7 @@ def compound_operations(text: Column, title: Column, header: Column) -> Column:
         _fact(subject["name"], subject["type"], F.lit("operates"), F.lit("quantity"), F.replace(part(2), F.lit(","), F.lit("")), time, 0.95, "numerical", unit=S.strip(part(3))),
         _fact(subject["name"], subject["type"], F.lit("floor_area"), F.lit("number"), part(4), time, 0.94, "numerical", unit=part(6), scale=S.blank_to_null(part(5))),
     )
-    return F.when(text.rlike(COMPOUND) & subject.isNotNull(), both).otherwise(F.array().cast(f"array<{FACT}>"))
+    return F.when(text.rlike(_HINTS[COMPOUND]) & text.rlike(COMPOUND) & subject.isNotNull(), both).otherwise(F.array().cast(f"array<{FACT}>"))
 
 
 def verb_facts(text: Column, title: Column, header: Column) -> Column:
@@ -137,7 +149,7 @@ def sentence_facts(rows: DataFrame, text: str = "content", title: str = "title",
     """EXT-8: one row per fact of each text; other columns are kept."""
     t, d, h = (F.col(c) for c in (text, title, header))
     compound = compound_operations(t, d, h)
-    verbs = F.when(t.rlike(COMPOUND), F.array().cast(f"array<{FACT}>")).otherwise(verb_facts(t, d, h))
+    verbs = F.when(t.rlike(_HINTS[COMPOUND]) & t.rlike(COMPOUND), F.array().cast(f"array<{FACT}>")).otherwise(verb_facts(t, d, h))
     parts = [appointments(t), locations(t, d, h), compound, verbs, reported_metrics(t, d, h), stated_metrics(t, d, h)]
     facts = F.concat(*(p.cast(f"array<{FACT}>") for p in parts))
     return rows.withColumn("qualifiers", S.qualifiers(t)).select("*", F.posexplode(facts).alias("fact_no", "_f")).select(*rows.columns, "qualifiers", "fact_no", "_f.*")

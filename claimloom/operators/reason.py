@@ -10,15 +10,13 @@ from claimloom.functions import vocab as V
 from claimloom.operators.compare import transition
 
 
-def _clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
-
-
 def relate(classified: DataFrame) -> DataFrame:
     """RSN-1..9, RSN-11: relationship, confidence, reason, explanation, source_independence."""
     s = lambda k: F.col(f"sig_{k}")
     b = F.least(F.coalesce("a.confidence", F.lit(0.0)), F.coalesce("b.confidence", F.lit(0.0)))
-    turned = transition(S.underscore_key(F.col("a.predicate")), S.underscore_key(F.col("b.predicate")), V.TRANSITIONS_REASONING)
+    # conditions used by several branches are columns of their own, evaluated once
+    classified = classified.withColumn("_turned", transition(S.underscore_key(F.col("a.predicate")), S.underscore_key(F.col("b.predicate")), V.TRANSITIONS_REASONING))
+    turned = F.col("_turned")
     entity = s("subject").isin("exact", "alias")
     predicate = s("predicate").isin("exact", "compatible")
     typed = s("fact_type") == "compatible"
@@ -44,36 +42,37 @@ def relate(classified: DataFrame) -> DataFrame:
     reconciled = changed & S.any_of([c for c, *_ in contexts])
     contradicts = same_claim & (s("scope") == "same") & ~s("time").isin("different", "overlapping", "contained") & (s("value") == "different") & ~dimension
 
-    def cascade(unrelated, unresolved, equal, context, clash, differs, other):
-        return (
-            F.when(apart, unrelated)
-            .when(open_, unresolved)
-            .when(corroborates, equal)
-            .when(reconciled, context)
-            .when(contradicts, clash)
-            .when(entity & predicate & (s("value") == "different"), differs)
-            .otherwise(other)
-        )
-
-    lit = F.lit
-    first = lambda f: F.coalesce(*(F.when(c, f(x, hi, why)) for c, x, hi, why in contexts))
-    confidence = cascade(
-        lit(0.98),
-        lit(0.50),
-        F.when(converted, _clamp(b * 0.96, 0.5, 0.98)).when(s("value") == "compatible", _clamp(b * 0.90, 0.5, 0.95)).otherwise(_clamp(b * 0.98, 0.5, 0.99)),
-        first(lambda x, hi, _: _clamp(b * x, 0.5, hi)),
-        F.when(s("time") == "same", _clamp(b * 0.94, 0.5, 0.96)).otherwise(_clamp(b * 0.82, 0.5, 0.88)),
-        lit(0.55),
-        lit(0.50),
+    # the branch and the first context are found once; the results are read off them
+    branch = (
+        F.when(apart, 0)
+        .when(open_, 1)
+        .when(corroborates, F.when(converted, 2).when(s("value") == "compatible", 3).otherwise(4))
+        .when(reconciled, 5 + F.coalesce(*(F.when(c, i) for i, (c, *_) in enumerate(contexts))))
+        .when(contradicts, F.when(s("time") == "same", 11).otherwise(12))
+        .when(entity & predicate & (s("value") == "different"), 13)
+        .otherwise(14)
     )
-    equal_reason = F.when(converted, "numerically equivalent").when(s("value") == "compatible", "within the approximation tolerance or bound").otherwise("same value")
-    reason = cascade(lit("different entities"), lit("unresolved entity"), equal_reason, first(lambda _x, _h, why: lit(why)), lit("materially different values"), lit("context does not establish a conflict"), lit("insufficient context"))
-    label = cascade(*(lit(x) for x in ("UNRELATED", "UNRESOLVED", "CORROBORATES", "CONTEXTUALLY_RECONCILED", "CONTRADICTS", "UNRESOLVED", "UNRESOLVED")))
+    # per branch: relationship, factor on the facts' confidence (0: none), least, most, reason
+    outcome = [
+        ("UNRELATED", 0.0, 0.98, 0.98, "different entities"),
+        ("UNRESOLVED", 0.0, 0.50, 0.50, "unresolved entity"),
+        ("CORROBORATES", 0.96, 0.5, 0.98, "numerically equivalent"),
+        ("CORROBORATES", 0.90, 0.5, 0.95, "within the approximation tolerance or bound"),
+        ("CORROBORATES", 0.98, 0.5, 0.99, "same value"),
+        *(("CONTEXTUALLY_RECONCILED", x, 0.5, hi, why) for _, x, hi, why in contexts),
+        ("CONTRADICTS", 0.94, 0.5, 0.96, "materially different values"),
+        ("CONTRADICTS", 0.82, 0.5, 0.88, "materially different values"),
+        ("UNRESOLVED", 0.0, 0.55, 0.55, "context does not establish a conflict"),
+        ("UNRESOLVED", 0.0, 0.50, 0.50, "insufficient context"),
+    ]
+    pick = lambda k: F.array(*(F.lit(o[k]) for o in outcome))[F.col("_branch")]
+    label, reason, lit = pick(0), pick(4), F.lit
+    confidence = F.least(pick(3), F.greatest(pick(2), F.coalesce(b, F.lit(0.0)) * pick(1)))
     same_doc = F.coalesce(F.col("a.document_id") == F.col("b.document_id"), lit(False))
     subject = F.coalesce(S.blank_to_null(F.col("a.subject")), S.blank_to_null(F.col("b.subject")), lit("the entity"))
     claim = F.coalesce(S.blank_to_null(F.col("a.predicate")), S.blank_to_null(F.col("b.predicate")), lit("claim"))
-    out = classified.withColumns({"relationship": label, "reason": reason, "rel_confidence": F.round(confidence, 4)})
-    return out.withColumn("source_independence", F.when(same_doc, "same_document").otherwise("cross_document")).withColumn("explanation", F.concat(claim, lit(" of "), subject, lit(": "), F.col("reason"), lit(".")))
+    out = classified.withColumn("_branch", branch).withColumns({"relationship": label, "reason": reason, "rel_confidence": F.round(confidence, 4)})
+    return out.withColumn("source_independence", F.when(same_doc, "same_document").otherwise("cross_document")).withColumn("explanation", F.concat(claim, lit(" of "), subject, lit(": "), F.col("reason"), lit("."))).drop("_branch", "_turned")
 
 
 def relationship_stats(related: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalar as S
 from claimloom.operators import block, canonical, compare, context, extract, knowledge, reason, select, validate
-from claimloom.session import table
+from claimloom.session import Staged, table
 
 QUERIES = {}
 
@@ -186,7 +186,14 @@ def class_members(spark, d):
 
 def _compared(spark, d):
     pairs = table(spark, d, "match_results").select("match_id", "fact_a_id", "fact_b_id").where("fact_a_id <> fact_b_id").distinct()
-    return compare.classify(compare.compare(compare.pair_up(pairs, compare.prepare(_facts(spark, d)))))
+    # both sides of a pair read the prepared facts, so they are parsed once and written
+    prepared = Staged(compare.prepare(_facts(spark, d)), "prepared-facts").df
+    return compare.classify(compare.compare(compare.pair_up(pairs, prepared)))
+
+
+def _related(spark, d):
+    # matches are a table of their own, written before they are reasoned over
+    return reason.relate(Staged(_compared(spark, d), "matches").df)
 
 
 @query
@@ -207,19 +214,19 @@ def match_reasons(spark, d):
 
 @query
 def relationships_all(spark, d):
-    r = reason.relate(_compared(spark, d))
+    r = _related(spark, d)
     return r.select("match_id", "relationship", "rel_confidence", "reason", "source_independence")
 
 
 @query
 def relationship_stats(spark, d):
-    return reason.relationship_stats(reason.relate(_compared(spark, d))).drop("avg_confidence")
+    return reason.relationship_stats(_related(spark, d)).drop("avg_confidence")
 
 
 @query
 def disputed_claims(spark, d):
     """Which (entity, metric, period) claims do two sources disagree on?"""
-    r = reason.relate(_compared(spark, d)).where((F.col("relationship") == "CONTRADICTS") & (F.col("source_independence") == "cross_document"))
+    r = _related(spark, d).where((F.col("relationship") == "CONTRADICTS") & (F.col("source_independence") == "cross_document"))
     return r.groupBy(F.col("a.subject").alias("subject"), F.col("a.predicate").alias("predicate"), F.col("a.time_text").alias("period")).agg(F.count(F.lit(1)).alias("n_disputes"))
 
 

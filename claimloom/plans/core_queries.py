@@ -62,6 +62,16 @@ def p6_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_non_unique, p5_found, p5_snapshot, p6_found, p6_elements, p6_unreadable)}
 
 _REFS = """
+refs_all AS (
+  SELECT 'facts' AS ref_table, 'evidence_ids' AS ref_column, fact_id AS row_id, 'elements' AS target, e AS ref_id, extracted_at AS ref_at
+  FROM (SELECT fact_id, extracted_at, unnest(list_distinct(list_transform(evidence_ids, lambda x: lower(trim(x))))) AS e FROM facts) WHERE e IS NOT NULL
+  UNION ALL
+  SELECT 'relationship_results', 'fact_a_id', relationship_id, 'facts', lower(trim(fact_a_id)), reasoned_at
+  FROM relationship_results WHERE fact_a_id IS NOT NULL
+  UNION ALL
+  SELECT 'relationship_results', 'fact_b_id', relationship_id, 'facts', lower(trim(fact_b_id)), reasoned_at
+  FROM relationship_results WHERE fact_b_id IS NOT NULL
+),
 refs AS (
   SELECT DISTINCT 'facts' AS ref_table, 'evidence_ids' AS ref_column, fact_id AS row_id, 'elements' AS target,
          lower(trim(e)) AS ref_id, extracted_at AS ref_at
@@ -90,6 +100,21 @@ WITH {_REFS}
 SELECT DISTINCT ref_table, ref_column, row_id, r.ref_id, strftime(ref_at, '%Y-%m') AS ref_month
 FROM refs r LEFT JOIN live l ON r.target = l.target AND r.ref_id = l.ref_id
 WHERE NOT coalesce(l.live_at <= r.ref_at, false)
+""",
+    "p5_snapshot": f"""
+WITH {_REFS},
+latest AS (
+  SELECT target, ref_id, arg_max(gone, (came, NOT gone)) AS gone FROM (
+    SELECT 'elements' AS target, lower(trim(element_id)) AS ref_id, ingested_at AS came, coalesce(is_deleted, false) AS gone FROM elements
+    UNION ALL
+    SELECT 'elements', lower(trim(e)), ingested_at, coalesce(is_deleted, false) FROM (SELECT unnest(evidence_ids) AS e, ingested_at, is_deleted FROM elements)
+    UNION ALL
+    SELECT 'facts', lower(trim(fact_id)), loaded_at, coalesce(is_deleted, false) FROM facts) GROUP BY ALL)
+SELECT ref_table, ref_column, strftime(ref_at, '%Y-%m') AS ref_month,
+  CASE WHEN l.live_at IS NULL THEN 'orphan' WHEN t.gone THEN 'reopened' WHEN l.live_at <= r.ref_at THEN 'linked' ELSE 'resolved' END AS status,
+  count(*) AS n_refs, count(*) FILTER (NOT coalesce(l.live_at <= r.ref_at, false)) AS n_unmet
+FROM refs_all r LEFT JOIN live l ON r.target = l.target AND r.ref_id = l.ref_id LEFT JOIN latest t ON r.target = t.target AND r.ref_id = t.ref_id
+GROUP BY ALL
 """,
     "p6_unreadable": "SELECT DISTINCT record_id FROM raw_records WHERE payload IS NULL OR NOT json_valid(payload)",
 }
