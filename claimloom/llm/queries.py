@@ -100,4 +100,21 @@ sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNI
 reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a)
 """
 
-ORACLE: dict[str, str] = {}
+_WORDS = """regexp_extract_all(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), '\'\'’`´', ''),
+  '([\\p{L}\\p{N}_])[-\u2010\u2011\u00ad](?:[ \\t]*\\r?\\n[ \\t]*)?([\\p{L}\\p{N}_])', '\\1\\2', 'g'),
+  '([\\p{L}\\p{N}_])[-\u2010\u2011\u00ad](?:[ \\t]*\\r?\\n[ \\t]*)?([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '[\\p{L}\\p{N}]+')"""
+_P8 = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM heldout_items),
+g AS (SELECT item_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS k, w FROM i WHERE len(w) >= 5),
+ig AS (SELECT item_id, n, k, array_to_string(w[k:k + 4], ' ') AS gram FROM g),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(k, k + 5)) AS place FROM dg JOIN ig USING (gram))
+SELECT doc_id, item_id FROM c GROUP BY doc_id, item_id, n HAVING count(*) * 3 >= n
+"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": _P4 + "SELECT a AS fact_id, min(b) AS group_id FROM reach GROUP BY a",
+    "p4_sizes": _P4 + ", f AS (SELECT a, min(b) AS g FROM reach GROUP BY a), s AS (SELECT g, count(*) AS group_size FROM f GROUP BY g) SELECT group_size, count(*) AS n_groups FROM s GROUP BY group_size",
+    "p8_found": _P8,
+}
