@@ -98,8 +98,9 @@ def running_headers(elements: DataFrame, least_pages: int = 3, least_share: floa
     )
     pages = elements.groupBy("document_id", "page_no").agg(F.lit(1).alias("one")).groupBy("document_id").agg(F.count("one").alias("n_pages"))
     slug = F.btrim(F.regexp_replace(F.lower("core"), "[^a-z0-9#]+", "-"), F.lit("-"))
-    # digits are masked in the core, so they are in the document's name
-    own = F.startswith(F.regexp_replace(F.lower("document_id"), r"\d", "#"), slug) & (F.length(slug) >= 10)
+    # a document's id is its name and a hash; digits are masked in the core, so they are in the name
+    name = F.regexp_replace(F.regexp_replace(F.lower("document_id"), "-[0-9a-f]{6}$", ""), r"\d", "#")
+    own = (name == slug) & (F.length(slug) >= 10)
     return (
         lines.groupBy("document_id", "core")
         .agg(F.count(F.lit(1)).alias("n"), F.max("typed").alias("typed"))
