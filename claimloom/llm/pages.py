@@ -220,8 +220,8 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.select("stored", "removed").mapInArrow(count, _COUNTS).groupBy("kind", "skeleton", "word", "before").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(rows: DataFrame, sure_ratio: float = 30.0, ratio: float = 3.0, support: float = 0.25) -> tuple[Staged, Staged]:
-    """(corrections (word, better), keeps (word)) of the whole corpus."""
+def vocabulary(rows: DataFrame, sure_ratio: float = 30.0, ratio: float = 3.0, support: float = 0.25) -> tuple[Staged, Staged, Staged]:
+    """(corrections (word, better), keeps (word), counts) of the whole corpus."""
     counts = Staged(_count_words(rows), "page-words")
     contexts = counts.df.where(F.col("kind") == "word").select("skeleton", "word", "before", "n")
     words = contexts.groupBy("skeleton", "word").agg(F.sum("n").alias("n"))
@@ -247,8 +247,7 @@ def vocabulary(rows: DataFrame, sure_ratio: float = 30.0, ratio: float = 3.0, su
     apart = F.sum(F.when(F.col("kind") == "hyphened", F.col("n")))
     keeps = cut.groupBy("word").agg(F.coalesce(apart, F.lit(0)).alias("a"), F.coalesce(as_one, F.lit(0)).alias("b")).where(F.col("a") > F.col("b"))
     keeps = Staged(keeps.select("word"), "page-keeps")
-    counts.drop()
-    return corrections, keeps
+    return corrections, keeps, counts
 
 
 def _fixed(word: str, corrections: dict[str, str]) -> str:
@@ -374,7 +373,7 @@ def repair_pages(elements: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame
     """(element_id, repair, piece): every repair of every body element."""
     body = Staged(body_elements(elements), "page-body")
     rows = body.df
-    corrections, keeps = vocabulary(rows)
+    corrections, keeps, counts = vocabulary(rows)
     removed = rows.select("element_id", F.lit("removed").alias("repair"), F.explode("removed").alias("piece"))
     restored = _restore(rows, corrections, keeps, max_shared).select("element_id", F.lit("restored").alias("repair"), "piece")
     pairs = Staged(page_joins(rows), "page-joins")
@@ -382,16 +381,16 @@ def repair_pages(elements: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame
     # words cut by a page end: without the hyphen, unless the corpus writes it
     cut = pairs.df.where(F.col("tail").isNotNull() & F.col("head").isNotNull())
     whole = cut.select("first", "first_stored", "second_stored", F.concat("tail", "head").alias("word"), F.concat_ws("-", "tail", "head").alias("hyphened"))
-    whole = whole.join(_written(rows, whole), "hyphened", "left").withColumn("word", F.when(F.coalesce("apart", F.lit(0)) > F.coalesce("as_one", F.lit(0)), F.col("hyphened")).otherwise(F.col("word")))
+    whole = whole.join(_written(counts.df, whole), "hyphened", "left").withColumn("word", F.when(F.coalesce("apart", F.lit(0)) > F.coalesce("as_one", F.lit(0)), F.col("hyphened")).otherwise(F.col("word")))
     whole = whole.join(corrections.df, "word", "left").select("first", "first_stored", "second_stored", F.coalesce("better", "word").alias("piece"))
     words = F.regexp_extract_all(F.lower(F.concat_ws("\n", "first_stored", "second_stored")), F.lit(r"([\p{L}\p{N}]+(?:[-'.,][\p{L}\p{N}]+)*)"))
     cut_words = whole.where(~F.array_contains(words, F.col("piece"))).select(F.col("first").alias("element_id"), F.lit("restored").alias("repair"), "piece")
     return removed.unionByName(restored).unionByName(joined).unionByName(cut_words).distinct()
 
 
-def _written(rows: DataFrame, whole: DataFrame) -> DataFrame:
+def _written(counts: DataFrame, whole: DataFrame) -> DataFrame:
     """How often the corpus writes words cut by page ends as one word and hyphened."""
     forms = whole.select("hyphened", F.explode(F.array(F.struct(F.col("word").alias("w"), F.lit(True).alias("one")), F.struct(F.col("hyphened").alias("w"), F.lit(False).alias("one")))).alias("f")).select("hyphened", "f.*").distinct()
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower("stored"), F.lit(r"([\p{L}\p{N}]+(?:[-'.,][\p{L}\p{N}]+)*)"))).alias("w"))
-    counts = words.join(forms.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return forms.join(counts, "w").groupBy("hyphened").agg(F.sum(F.when(F.col("one"), F.col("n"))).alias("as_one"), F.sum(F.when(~F.col("one"), F.col("n"))).alias("apart"))
+    words = counts.where(F.col("kind") == "word").select(F.col("word").alias("w"), "n")
+    n = words.join(forms.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n"))
+    return forms.join(n, "w").groupBy("hyphened").agg(F.sum(F.when(F.col("one"), F.col("n"))).alias("as_one"), F.sum(F.when(~F.col("one"), F.col("n"))).alias("apart"))
