@@ -122,14 +122,13 @@ def body_elements(elements: DataFrame) -> DataFrame:
     # only short lines without the end of a sentence can be headers, which spares the others the patterns
     short = lambda x: (F.length(x) <= 90) & (F.length(x) > 0) & ~x.rlike(r"[.;:,!?­‐]$")
 
-    def is_removed(x: Column) -> Column:
-        core = line_core(x)
-        return short(x) & ((core == "") | F.array_contains(cores, core))
-
+    # each line's core is taken once; lines that cannot be headers have none
+    with_core = F.transform("lines", lambda x: F.when(short(x), F.struct(x.alias("line"), line_core(x).alias("core"))))
+    hits = F.filter(with_core, lambda s: s.isNotNull() & ((s["core"] == "") | F.array_contains(cores, s["core"])))
     return (
         body.join(running_headers(elements), "document_id", "left")
         .withColumn("lines", lines)
-        .withColumn("removed", F.filter("lines", is_removed))
+        .withColumn("removed", F.transform(hits, lambda s: s["line"]))
         .drop("cores", "lines")
     )
 
