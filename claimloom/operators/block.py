@@ -8,12 +8,12 @@ expanded into all pairs.  Each pass is an equi-join, never one disjunction.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalar as S
 from claimloom.functions import vocab as V
-from claimloom.operators.compare import compatible_predicates, types_compatible
+from claimloom.operators.compare import LOOSE, NUMERIC, TEXT, compatible_predicates, types_compatible
 
 
 def index_facts(facts: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -106,3 +106,82 @@ def block_uncertain(classes: DataFrame, cross_document: bool = True) -> DataFram
     else:
         known_pairs, general_pairs = g * k, g * (g - 1) / 2
     return per_doc.groupBy("norm_predicate").agg(known_pairs.cast("long").alias("n_with_known"), general_pairs.cast("long").alias("n_general"))
+
+
+def prepared_classes(prepared: DataFrame) -> DataFrame:
+    """Prepared facts alike in all that comparisons read: one row each under the least fact_id, with n_members.
+
+    Every member compares with everything as its representative does.
+    """
+    same = [c for c in prepared.columns if c != "fact_id"]
+    return prepared.groupBy(*same).agg(F.min("fact_id").alias("fact_id"), F.count(F.lit(1)).alias("n_members"))
+
+
+def prepared_members(prepared: DataFrame) -> DataFrame:
+    """(class_id, fact_id) of every prepared fact."""
+    same = [c for c in prepared.columns if c != "fact_id"]
+    return prepared.select(F.min("fact_id").over(Window.partitionBy(*same)).alias("class_id"), "fact_id")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """JN-5 over JN-1 and JN-2, across documents: (a, b, pass_no, n_pairs) for pairs of prepared classes.
+
+    A class is looked up under its own predicate (pass 1) and under those it may be
+    compared with (pass 2); b has one predicate, so a pair meets in one pass only, the
+    first it belongs to, and needs no distinct.  Pass 3 is left to ``uncertain_members``:
+    its pairs have no subject in common with passes 1 and 2, and all are unresolved.
+    """
+    other = S.literal_map({k: "|".join(v) for k, v in compatible_predicates().items()})
+    known = classes.where(~is_general(F.col("subject")) & (F.col("predicate") != ""))
+    side = F.struct(*[c for c in classes.columns if c != "n_members"])
+    rows = known.select("subject", "predicate", "document_id", "fact_id", "fact_type", "value_type", "n_members", side.alias("side"))
+    keys = F.split(F.concat_ws("|", F.col("predicate"), F.try_element_at(other, F.col("predicate"))), r"\|")
+    x, y = rows.withColumn("key", F.explode(F.when(F.col("predicate").isin(*compatible_predicates()), keys).otherwise(F.array("predicate")))).alias("x"), rows.alias("y")
+    on = (F.col("x.subject") == F.col("y.subject")) & (F.col("x.key") == F.col("y.predicate")) & (F.col("x.fact_id") < F.col("y.fact_id")) & (F.col("x.document_id") != F.col("y.document_id"))
+    on = on & types_compatible(F.col("x.fact_type"), F.col("y.fact_type"), F.col("x.value_type"), F.col("y.value_type"))
+    return x.join(y, on).select(
+        F.col("x.side").alias("a"), F.col("y.side").alias("b"), F.when(F.col("x.key") == F.col("x.predicate"), 1).otherwise(2).alias("pass_no"), (F.col("x.n_members") * F.col("y.n_members")).alias("n_pairs")
+    )
+
+
+def _value_kind() -> Column:
+    v = F.col("value_type")
+    return F.when(v.isin(*NUMERIC), "numeric").when(v.isin(*TEXT), "text").otherwise("other")
+
+
+def uncertain_members(classes: DataFrame) -> DataFrame:
+    """JN-3, JN-4 in linear form: every prepared class under its predicate and type group, with its side.
+
+    The candidates are the pairs of one predicate, different documents and fitting type
+    groups with at least one general side; fact_type and value_kind decide JN-6.
+    """
+    side = F.when(is_general(F.col("subject")), "general").otherwise("known")
+    rows = classes.where(F.col("predicate") != "")
+    return rows.select("predicate", "fact_type", _value_kind().alias("value_kind"), side.alias("side"), "document_id", F.col("fact_id").alias("class_id"), "n_members")
+
+
+def uncertain_pairs(members: DataFrame) -> DataFrame:
+    """How many fact pairs across documents the blocks of JN-3 and JN-4 hold, per predicate, after JN-6.
+
+    All pairs of fitting type groups less those within one document; only counts per
+    type group are joined, so the work does not grow with the pairs.
+    """
+    n = lambda side: F.sum(F.when(F.col("side") == side, F.col("n_members")).otherwise(0))
+    groups = ["fact_type", "value_kind"]
+    # documents that are null lie outside every pair, as in the passes
+    per_doc = members.where(F.col("document_id").isNotNull()).groupBy("predicate", "document_id", *groups).agg(n("general").alias("general"), n("known").alias("known"))
+    total = per_doc.groupBy("predicate", *groups).agg(F.sum("general").alias("general"), F.sum("known").alias("known"))
+
+    def products(d: DataFrame, keys: list[str], sign: int) -> DataFrame:
+        x, y = d.alias("x"), d.alias("y")
+        c = F.col
+        same = lambda k: c("x.value_kind").eqNullSafe(k) & c("y.value_kind").eqNullSafe(k)
+        fits = F.coalesce(c("x.fact_type") == c("y.fact_type"), F.lit(False)) | same("numeric") | same("text") | F.coalesce(c("x.fact_type").isin(*LOOSE) & c("y.fact_type").isin(*LOOSE), F.lit(False))
+        on = fits & (c("x.general") > 0)
+        for k in keys:
+            on = on & (c(f"x.{k}") == c(f"y.{k}"))
+        return x.join(y, on).select(c("x.predicate").alias("predicate"), (c("x.general") * c("y.known") * sign).alias("gk"), (c("x.general") * c("y.general") * sign).alias("gg"))
+
+    both = products(total, ["predicate"], 1).unionByName(products(per_doc, ["predicate", "document_id"], -1))
+    out = both.groupBy("predicate").agg(F.sum("gk").cast("long").alias("n_with_known"), (F.sum("gg") / 2).cast("long").alias("n_general"))
+    return out.where((F.col("n_with_known") > 0) | (F.col("n_general") > 0))

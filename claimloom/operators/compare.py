@@ -14,6 +14,7 @@ from claimloom.functions import vocab as V
 
 NUMERIC = ("number", "percentage", "currency", "quantity")
 TEXT = ("text", "entity")
+LOOSE = ("attribute", "semantic")
 
 
 def latest_facts(facts: DataFrame) -> DataFrame:
@@ -91,9 +92,8 @@ def transition(p: Column, q: Column, table: list[tuple[str, str]]) -> Column:
 
 def types_compatible(fa: Column, fb: Column, va: Column, vb: Column) -> Column:
     """JN-6."""
-    loose = ("attribute", "semantic")
     same = fa == fb
-    return same | (va.isin(*NUMERIC) & vb.isin(*NUMERIC)) | (va.isin(*TEXT) & vb.isin(*TEXT)) | (fa.isin(*loose) & fb.isin(*loose))
+    return same | (va.isin(*NUMERIC) & vb.isin(*NUMERIC)) | (va.isin(*TEXT) & vb.isin(*TEXT)) | (fa.isin(*LOOSE) & fb.isin(*LOOSE))
 
 
 def sig_subject() -> Column:

@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claim_queries.disputed_claims(spark, sf_dir)
+    return claim_queries.candidate_disputes(spark, sf_dir)

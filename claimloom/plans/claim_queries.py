@@ -230,6 +230,60 @@ def disputed_claims(spark, d):
     return r.groupBy(F.col("a.subject").alias("subject"), F.col("a.predicate").alias("predicate"), F.col("a.time_text").alias("period")).agg(F.count(F.lit(1)).alias("n_disputes"))
 
 
+def _candidate_classes(spark, d):
+    # both sides of a pair read the classes, so facts are parsed once and written
+    prepared = Staged(compare.prepare(_facts(spark, d)), "prepared-facts").df
+    return Staged(block.prepared_classes(prepared), "candidate-classes").df
+
+
+def _candidate_relations(classes):
+    m = compare.classify(compare.compare(block.candidates(classes)))
+    read = ("fact_id", "document_id", "subject", "predicate", "value_type", "unit", "time_text", "confidence")
+    side = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in read)).alias(x)
+    # written with the columns reasoning reads, as both steps in one exceed what one generated method may hold
+    m = m.select(side("a"), side("b"), "pass_no", "n_pairs", "classification", *(c for c in m.columns if c.startswith("sig_")))
+    return reason.relate(Staged(m, "candidate-matches").df)
+
+
+@query
+def block_all(spark, d):
+    """Candidate pairs of facts per pass, pass 3 counted from its blocks."""
+    classes = _candidate_classes(spark, d)
+    passes = block.candidates(classes).groupBy("pass_no").agg(F.sum("n_pairs").alias("n_pairs"))
+    third = block.uncertain_pairs(block.uncertain_members(classes)).agg(F.lit(3).alias("pass_no"), F.sum(F.col("n_with_known") + F.col("n_general")).alias("n_pairs"))
+    return passes.unionByName(third.where("n_pairs > 0"))
+
+
+@query
+def candidate_members(spark, d):
+    return block.prepared_members(compare.prepare(_facts(spark, d)))
+
+
+@query
+def candidate_relationships(spark, d):
+    """Blocking, comparison and reasoning in one: every pair of classes of passes 1 and 2 with its relationship."""
+    r = _candidate_relations(_candidate_classes(spark, d))
+    return r.select(F.col("a.fact_id").alias("class_a"), F.col("b.fact_id").alias("class_b"), "pass_no", "n_pairs", "classification", "relationship", "rel_confidence", "reason")
+
+
+@query
+def candidate_stats(spark, d):
+    """Fact pairs per relationship over all passes; those of pass 3 have an unknown subject, so all are unresolved."""
+    classes = _candidate_classes(spark, d)
+    related = _candidate_relations(classes).select("relationship", "n_pairs")
+    third = block.uncertain_pairs(block.uncertain_members(classes)).select(F.lit("UNRESOLVED").alias("relationship"), (F.col("n_with_known") + F.col("n_general")).alias("n_pairs"))
+    return related.unionByName(third).groupBy("relationship").agg(F.sum("n_pairs").alias("n"))
+
+
+@query
+def candidate_disputes(spark, d):
+    """Which (entity, metric, period) claims do two sources disagree on, over all candidate pairs?"""
+    r = _candidate_relations(_candidate_classes(spark, d)).where("relationship = 'CONTRADICTS'")
+    # either side may come first: the stated period wins over a blank one
+    claim = [F.col("a.subject").alias("subject"), F.least("a.predicate", "b.predicate").alias("predicate"), F.greatest("a.time_text", "b.time_text").alias("period")]
+    return r.groupBy(*claim).agg(F.sum("n_pairs").alias("n_disputes"))
+
+
 @query
 def pair_checks(spark, d):
     return validate.check_pairs(table(spark, d, "match_results")).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))

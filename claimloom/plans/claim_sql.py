@@ -258,6 +258,14 @@ cl AS (SELECT {_CLASS}, min(fact_id) AS class_id, count(DISTINCT fact_id) AS n F
 _KNOWN = f"norm_subject <> '' AND norm_subject NOT IN {_GENERAL}"
 _BT = _types("a.fact_type", "b.fact_type", "a.value_type", "b.value_type")
 
+_GA, _GB = (f"({x}.subject = '' OR {x}.subject IN {_GENERAL})" for x in "ab")
+#: all pairs of the three passes, written out
+PASSED = f"""SELECT CASE WHEN {_GA} OR {_GB} THEN 3 WHEN a.predicate = b.predicate THEN 1 ELSE 2 END AS pass_no, a.fact_id AS fact_a_id, b.fact_id AS fact_b_id
+FROM pr a JOIN pr b ON a.fact_id < b.fact_id AND a.document_id <> b.document_id AND a.predicate <> '' AND b.predicate <> '' AND {_BT}
+AND ((a.predicate = b.predicate AND (a.subject = b.subject OR {_GA} OR {_GB})) OR (a.subject = b.subject AND NOT {_GA} AND {_compat('a.predicate', 'b.predicate')}))"""
+_GIVEN = "SELECT DISTINCT match_id, fact_a_id, fact_b_id FROM match_results WHERE fact_a_id <> fact_b_id"
+CHAIN = RELATED.replace(_GIVEN, f"SELECT pass_no AS match_id, fact_a_id, fact_b_id FROM ({PASSED})")
+
 
 def _block(cross: bool) -> str:
     return f"""WITH {CLASSES}, k AS (SELECT * FROM cl WHERE {_KNOWN} AND norm_predicate <> '')
@@ -346,6 +354,9 @@ SELECT norm_predicate, (sum(ge) * sum(kn) - sum(ge * kn))::BIGINT AS n_with_know
     "relationships_all": f"WITH {RELATED} SELECT match_id, relationship, rel_confidence, reason, source_independence FROM r",
     "relationship_stats": f"WITH {RELATED} SELECT relationship, source_independence, count(*) AS n FROM r GROUP BY ALL",
     "disputed_claims": f"WITH {RELATED} SELECT a.subject AS subject, a.predicate AS predicate, a.tx AS period, count(*) AS n_disputes FROM r WHERE relationship = 'CONTRADICTS' AND source_independence = 'cross_document' GROUP BY ALL",
+    "block_all": f"WITH {CHAIN} SELECT match_id AS pass_no, count(*) AS n_pairs FROM pairs GROUP BY 1",
+    "candidate_stats": f"WITH {CHAIN} SELECT relationship, count(*) AS n FROM r GROUP BY 1",
+    "candidate_disputes": f"WITH {CHAIN} SELECT a.subject AS subject, least(a.predicate, b.predicate) AS predicate, greatest(a.tx, b.tx) AS period, count(*) AS n_disputes FROM r WHERE relationship = 'CONTRADICTS' GROUP BY ALL",
     "pair_checks": f"""SELECT array_to_string(list_filter([CASE WHEN fact_a_id IS NULL OR fact_b_id IS NULL THEN 'missing id' END, CASE WHEN fact_a_id = fact_b_id THEN 'fact compared with itself' END,
   CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END, CASE WHEN regexp_replace(upper({_strip('classification')}), '[\\s-]+', '_', 'g') NOT IN ('SAME_CLAIM', 'RELATED_CLAIM', 'NOT_MATCH', 'UNCERTAIN') THEN 'unknown classification' END],
   lambda x: x IS NOT NULL), '; ') AS errors, count(*) AS n FROM match_results GROUP BY 1""",

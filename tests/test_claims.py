@@ -165,6 +165,28 @@ def test_blocks_equal_nested_loops(spark):
     assert block.class_members(ix).count() == len(rows)
 
 
+def test_candidate_chain_equals_nested_loops(spark):
+    import itertools
+
+    rows = [dict(subject_name=s, predicate=p, document_id=d, value_raw=v, value_num=float(v)) for s in ("Acme", "Other", "It", "") for p in ("revenue", "total_revenue", "margin") for d in ("d1", "d2", "d3") for v in ("1", "2")]
+    rows += rows[:5] + [dict(rows[0], fact_type="event", value_type="text", document_id=d) for d in ("d4", "d1")]
+    f = facts(spark, *rows)
+    classes = block.prepared_classes(compare.prepare(f)).cache()
+    general = lambda r: r["subject_name"] in ("It", "")
+    fits = lambda a, b: a.get("fact_type") == b.get("fact_type")
+    cross = [(a, b) for a, b in itertools.combinations(rows, 2) if a["document_id"] != b["document_id"] and fits(a, b)]
+    passes = {1: 0, 2: 0}
+    for a, b in cross:
+        if not general(a) and a["subject_name"] == b["subject_name"]:
+            passes[1] += a["predicate"] == b["predicate"]
+            passes[2] += {a["predicate"], b["predicate"]} == {"revenue", "total_revenue"}
+    pairs = block.candidates(classes)
+    assert {r.pass_no: r.n for r in pairs.groupBy("pass_no").agg(F.sum("n_pairs").alias("n")).collect()} == passes
+    disputes = reason.relate(compare.classify(compare.compare(pairs))).where("relationship = 'CONTRADICTS'").agg(F.sum("n_pairs")).first()[0]
+    assert disputes == sum(1 for a, b in cross if not general(a) and a["subject_name"] == b["subject_name"] and a["value_raw"] != b["value_raw"] and (a["predicate"] == b["predicate"] or "margin" not in (a["predicate"], b["predicate"])))
+    assert block.prepared_members(compare.prepare(f)).join(classes, F.col("class_id") == classes["fact_id"]).count() == len(rows)
+
+
 def test_validation_and_dedup(spark):
     elements = spark.createDataFrame([("e", ["b"])], "element_id string, evidence_ids array<string>")
     f = facts(spark, {}, {"evidence_ids": ["e", "x", "y"]}, {"evidence_ids": []}, {"evidence_ids": None}, {"subject_name": " "}, {"confidence": 1.5}, {"value_raw": "n.a.", "value_num": None}, {"evidence_ids": ["b"], "confidence": 0.99})
