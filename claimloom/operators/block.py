@@ -58,6 +58,11 @@ def is_general(c: Column) -> Column:
     return (c == "") | c.isin(*V.GENERIC_SUBJECTS)
 
 
+def exact_subject(c: Column, cross_document: bool) -> Column:
+    """Whether a subject makes exact pairs; blank ones never do, they are left to JN-4."""
+    return ~is_general(c) if cross_document else c != ""
+
+
 def _pairs(a: DataFrame, b: DataFrame, on: Column, cross_document: bool, ordered: bool = True) -> DataFrame:
     x, y = a.alias("a"), b.alias("b")
     rest = types_compatible(F.col("a.fact_type"), F.col("b.fact_type"), F.col("a.value_type"), F.col("b.value_type"))
@@ -71,8 +76,8 @@ def _pairs(a: DataFrame, b: DataFrame, on: Column, cross_document: bool, ordered
 
 
 def block_exact(classes: DataFrame, cross_document: bool = True) -> DataFrame:
-    """JN-1: same known subject and same predicate."""
-    known = classes.where(~is_general(F.col("norm_subject")) & (F.col("norm_predicate") != ""))
+    """JN-1: same subject and same predicate; across documents only known subjects mean the same."""
+    known = classes.where(exact_subject(F.col("norm_subject"), cross_document) & (F.col("norm_predicate") != ""))
     on = (F.col("a.norm_subject") == F.col("b.norm_subject")) & (F.col("a.norm_predicate") == F.col("b.norm_predicate"))
     return _pairs(known, known, on, cross_document)
 

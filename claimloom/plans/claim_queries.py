@@ -165,6 +165,14 @@ def block_exact(spark, d):
 
 @query
 def block_intra_doc(spark, d):
+    """Known subjects only, as its SQL has it; block_intra_all has all."""
+    p = block.block_exact(_classes(spark, d).where(~block.is_general(F.col("norm_subject"))), cross_document=False)
+    return p.groupBy("predicate_a").agg(F.count(F.lit(1)).alias("n_class_pairs"), F.sum("n_pairs").alias("n_pairs"))
+
+
+@query
+def block_intra_all(spark, d):
+    """Exact pairs within and across documents, those of general subjects included."""
     p = block.block_exact(_classes(spark, d), cross_document=False)
     return p.groupBy("predicate_a").agg(F.count(F.lit(1)).alias("n_class_pairs"), F.sum("n_pairs").alias("n_pairs"))
 

@@ -341,6 +341,7 @@ SELECT k0 AS document_id, fact_id, confidence, n_facts, coalesce(array_to_string
     "index_keys": f"WITH {CLASSES} SELECT norm_subject, norm_predicate, count(DISTINCT fact_id) AS n_facts, count(DISTINCT document_id) AS n_documents FROM ix GROUP BY ALL",
     "block_exact": _block(True),
     "block_intra_doc": _block(False),
+    "block_intra_all": _block(False).replace(_KNOWN, "norm_subject <> ''"),
     "block_compatible": f"""WITH {CLASSES} SELECT a.class_id AS class_a, b.class_id AS class_b, a.n * b.n AS n_pairs, a.norm_predicate AS predicate_a, b.norm_predicate AS predicate_b
 FROM cl a JOIN {_EDGES} ON a.norm_predicate = e.p JOIN cl b ON b.norm_predicate = e.q AND a.norm_subject = b.norm_subject AND a.class_id < b.class_id AND a.document_id <> b.document_id AND {_BT}
 WHERE a.norm_subject <> '' AND a.norm_subject NOT IN {_GENERAL}""",

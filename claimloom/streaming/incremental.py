@@ -21,7 +21,7 @@ def new_pairs(old: DataFrame, new: DataFrame, cross_document: bool = True) -> Da
     cols = ["fact_id", "document_id", "norm_subject", "norm_predicate", "fact_type", "value_type"]
     n = block.index_facts(new).select(cols)
     everything = block.index_facts(old).select(cols).unionByName(n)
-    known = lambda d: d.where(~block.is_general(F.col("norm_subject")) & (F.col("norm_predicate") != ""))
+    known = lambda d: d.where(block.exact_subject(F.col("norm_subject"), cross_document) & (F.col("norm_predicate") != ""))
     a, b = known(n).alias("a"), known(everything).alias("b")
     from claimloom.operators.compare import types_compatible
 

@@ -165,6 +165,14 @@ def test_blocks_equal_nested_loops(spark):
     assert block.class_members(ix).count() == len(rows)
 
 
+def test_exact_block_without_document_limit(spark):
+    f = facts(spark, *(dict(subject_name=s, document_id=d, value_raw=v) for s in ("Acme", "It", "we", "") for d in ("d1", "d2") for v in ("1", "2")))
+    pairs = block.block_exact(block.claim_classes(block.index_facts(f)), cross_document=False)
+    # four facts each of Acme, it and we: six pairs each; blank subjects are not indexed
+    assert pairs.agg(F.sum("n_pairs")).first()[0] == 18
+    assert incremental.new_pairs(f.limit(0), f, cross_document=False).count() == 18
+
+
 def test_candidate_chain_equals_nested_loops(spark):
     import itertools
 
