@@ -96,8 +96,8 @@ def block_uncertain(classes: DataFrame, cross_document: bool = True) -> DataFram
     """JN-3, JN-4: per predicate, how many pairs have a general subject on one or both sides.
 
     A general subject fits every subject, so all of a predicate's facts are its
-    partners; the pairs are described by their block, which holds both member lists,
-    instead of being written out.
+    partners; the pairs are counted by their block instead of being written out, before
+    JN-6.  ``uncertain_members`` holds both member lists, ``uncertain_pairs`` counts after JN-6.
     """
     # block totals less the pairs within one document
     per_doc = classes.where(F.col("norm_predicate") != "").groupBy("norm_predicate", "document_id").agg(
@@ -188,5 +188,5 @@ def uncertain_pairs(members: DataFrame) -> DataFrame:
         return x.join(y, on).select(c("x.predicate").alias("predicate"), (c("x.general") * c("y.known") * sign).alias("gk"), (c("x.general") * c("y.general") * sign).alias("gg"))
 
     both = products(total, ["predicate"], 1).unionByName(products(per_doc, ["predicate", "document_id"], -1))
-    out = both.groupBy("predicate").agg(F.sum("gk").cast("long").alias("n_with_known"), (F.sum("gg") / 2).cast("long").alias("n_general"))
+    out = both.groupBy("predicate").agg(F.sum("gk").cast("long").alias("n_with_known"), F.expr("sum(gg) div 2").alias("n_general"))
     return out.where((F.col("n_with_known") > 0) | (F.col("n_general") > 0))

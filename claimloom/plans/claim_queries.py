@@ -262,6 +262,16 @@ def block_all(spark, d):
     return passes.unionByName(third.where("n_pairs > 0"))
 
 
+@query
+def uncertain_members(spark, d):
+    return block.uncertain_members(_candidate_classes(spark, d))
+
+
+@query
+def uncertain_pairs(spark, d):
+    return block.uncertain_pairs(block.uncertain_members(_candidate_classes(spark, d)))
+
+
 @query
 def candidate_members(spark, d):
     return block.prepared_members(compare.prepare(_facts(spark, d)))

@@ -356,6 +356,11 @@ SELECT norm_predicate, (sum(ge) * sum(kn) - sum(ge * kn))::BIGINT AS n_with_know
     "relationship_stats": f"WITH {RELATED} SELECT relationship, source_independence, count(*) AS n FROM r GROUP BY ALL",
     "disputed_claims": f"WITH {RELATED} SELECT a.subject AS subject, a.predicate AS predicate, a.tx AS period, count(*) AS n_disputes FROM r WHERE relationship = 'CONTRADICTS' AND source_independence = 'cross_document' GROUP BY ALL",
     "block_all": f"WITH {CHAIN} SELECT match_id AS pass_no, count(*) AS n_pairs FROM pairs GROUP BY 1",
+    "uncertain_members": f"""WITH {PREPARED} SELECT predicate, fact_type, CASE WHEN value_type IN {_NUMERIC} THEN 'numeric' WHEN value_type IN ('text', 'entity') THEN 'text' ELSE 'other' END AS value_kind,
+  CASE WHEN subject = '' OR subject IN {_GENERAL} THEN 'general' ELSE 'known' END AS side, document_id, min(fact_id) AS class_id, count(*) AS n_members FROM pr WHERE predicate <> ''
+  GROUP BY document_id, fact_type, value_type, confidence, subject, predicate, txt, v, mult, unit, cur, cur_raw, bnd, tt, tx, dy, fy, cy, qu, scope, quals""",
+    "uncertain_pairs": f"""WITH {PREPARED}, c AS ({PASSED}) SELECT a.predicate, count(*) FILTER ({_GA} <> {_GB}) AS n_with_known, count(*) FILTER ({_GA} AND {_GB}) AS n_general
+FROM c JOIN pr a ON a.fact_id = fact_a_id JOIN pr b ON b.fact_id = fact_b_id WHERE pass_no = 3 GROUP BY 1""",
     "candidate_stats": f"WITH {CHAIN} SELECT relationship, count(*) AS n FROM r GROUP BY 1",
     "candidate_disputes": f"WITH {CHAIN} SELECT a.subject AS subject, least(a.predicate, b.predicate) AS predicate, greatest(a.tx, b.tx) AS period, count(*) AS n_disputes FROM r WHERE relationship = 'CONTRADICTS' GROUP BY ALL",
     "pair_checks": f"""SELECT array_to_string(list_filter([CASE WHEN fact_a_id IS NULL OR fact_b_id IS NULL THEN 'missing id' END, CASE WHEN fact_a_id = fact_b_id THEN 'fact compared with itself' END,

@@ -195,6 +195,36 @@ def test_candidate_chain_equals_nested_loops(spark):
     assert block.prepared_members(compare.prepare(f)).join(classes, F.col("class_id") == classes["fact_id"]).count() == len(rows)
 
 
+def test_uncertain_members_hold_all_pairs(spark):
+    import itertools
+
+    kinds = [("numerical", "currency"), ("numerical", "number"), ("event", "text"), ("semantic", "quantity"), ("attribute", None), (None, "entity"), (None, None)]
+    rows = [dict(subject_name=s, document_id=d, fact_type=t, value_type=v) for s in ("Acme", "It", "") for d in ("d1", "d2", "d3") for t, v in kinds]
+    rows += [dict(r) for r in rows[7:20]]
+    f = facts(spark, *rows)
+    numeric, text, loose = ("number", "percentage", "currency", "quantity"), ("text", "entity"), ("attribute", "semantic")
+    group = lambda r: ("numeric" if r["value_type"] in numeric else "text" if r["value_type"] in text else "other")
+
+    def fits(a, b):
+        ta, tb = a["fact_type"], b["fact_type"]
+        return (ta is not None and ta == tb) or (group(a) == group(b) != "other") or (ta in loose and tb in loose)
+
+    general = lambda r: r["subject_name"] != "Acme"
+    wanted = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2) if a["document_id"] != b["document_id"] and fits(a, b) and (general(a) or general(b))}
+    prepared = compare.prepare(f)
+    members = block.uncertain_members(block.prepared_classes(prepared))
+    got = block.uncertain_pairs(members).collect()
+    assert [(r.n_with_known, r.n_general) for r in got] == [(sum(general(rows[i]) != general(rows[j]) for i, j in wanted), sum(general(rows[i]) and general(rows[j]) for i, j in wanted))]
+    # the pairs come back out of the membership, and each is unresolved
+    m = members.join(block.prepared_members(prepared), "class_id").collect()
+    side = lambda r: dict(fact_type=r.fact_type, value_type={"numeric": "number", "text": "text"}.get(r.value_kind))
+    back = [tuple(sorted((int(x.fact_id[1:]), int(y.fact_id[1:])))) for x, y in itertools.combinations(m, 2) if x.document_id != y.document_id and "general" in (x.side, y.side) and fits(side(x), side(y))]
+    assert len(back) == len(set(back)) and set(back) == wanted
+    pairs = spark.createDataFrame([(f"f{i}", f"f{j}") for i, j in wanted], "fact_a_id string, fact_b_id string")
+    related = reason.relate(compare.classify(compare.compare(compare.pair_up(pairs, prepared))))
+    assert {r.relationship for r in related.select("relationship").distinct().collect()} == {"UNRESOLVED"}
+
+
 def test_validation_and_dedup(spark):
     elements = spark.createDataFrame([("e", ["b"])], "element_id string, evidence_ids array<string>")
     f = facts(spark, {}, {"evidence_ids": ["e", "x", "y"]}, {"evidence_ids": []}, {"evidence_ids": None}, {"subject_name": " "}, {"confidence": 1.5}, {"value_raw": "n.a.", "value_num": None}, {"evidence_ids": ["b"], "confidence": 0.99})
