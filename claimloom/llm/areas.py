@@ -7,11 +7,11 @@ document; a sentence that says nothing about an area occurs with all areas alike
 and stays below the threshold, so documents need no sentence labels.
 
 *Training* uses at most ``max_labelled`` labelled documents (those whose ids have
-the least hashes), the one documented bound.  The sample is spread over
-``shards`` tasks.  In each round every task takes Adam steps over its shard, and
-the parameters are averaged over the tasks, weighted by sentences, so gradients
-are synchronised once a round.  A fifth of the sample is held out and chooses the
-threshold.
+the least hashes), the one documented bound.  The sample is spread over ``shards``
+tasks and cut into ``slices``.  In each step every task works out the gradient of
+its part of one slice at the parameters it is sent; the gradients are summed, and
+one Adam step follows, so gradients are synchronised in every step.  A fifth of
+the sample is held out and chooses the threshold.
 
 *Scoring* reads every document, whole.  As the model is linear, a word's share of
 all outputs is computed once per worker and looked up from then on.  An area
@@ -50,11 +50,10 @@ MAX_CACHE = 400_000
 class Settings:
     max_labelled: int = 6000
     shards: int = 4
-    rounds: int = 10
+    slices: int = 5
+    steps: int = 50
     dim: int = 16
-    batch: int = 256
-    rate: float = 0.02
-    min_steps: int = 25
+    rate: float = 0.05
     min_count: int = 3
     min_sentences: int = 3
     held_out: float = 0.2
@@ -121,8 +120,12 @@ class Scorer:
             self.table[at, -1] = len(known)
         return at
 
-    def decide(self, texts: list[str | None], min_sentences: int, threshold: float | None = None) -> np.ndarray:
+    def decide(self, texts: list[str | None], min_sentences: int) -> np.ndarray:
         """A mark per text and area."""
+        return self.marks(*self.sentences(texts), min_sentences, self.model.threshold)
+
+    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs of all sentences, and how many each text has."""
         if len(self.index) > MAX_CACHE:
             self.clear()
         ids: list[int] = []
@@ -139,14 +142,14 @@ class Scorer:
         # a sentence starts at the first word after an end
         starts = np.flatnonzero(np.diff(np.cumsum(~word)[places], prepend=-1))
         counts = np.diff(np.searchsorted(places[starts], [0, *ends])) if len(starts) else np.zeros(len(texts), int)
-        marks = np.zeros((len(texts), len(self.model.areas)), bool)
         if not len(starts):
-            return marks
+            return np.zeros((0, len(self.model.areas)), np.float32), counts
         sums = np.add.reduceat(self.table[rows[places]], starts, axis=0)
-        z = sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.model.bias
-        limit = self.model.threshold if threshold is None else threshold
+        return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.model.bias, counts
+
+    @staticmethod
+    def marks(z: np.ndarray, n: np.ndarray, min_sentences: int, limit: float) -> np.ndarray:
         about = z > np.log(limit / (1 - limit))
-        n = counts
         ends = np.concatenate([[0], np.cumsum(n)])
         total = np.concatenate([np.zeros((1, about.shape[1]), np.int64), np.cumsum(about, axis=0)])
         per_text = total[ends[1:]] - total[ends[:-1]]
@@ -154,30 +157,35 @@ class Scorer:
         return (per_text >= min_sentences) | short
 
 
-def _shard_steps(rows: list[np.ndarray], labels: np.ndarray, start: tuple[np.ndarray, ...], s: Settings, seed: int) -> tuple[np.ndarray, ...]:
-    """One round of Adam steps over a shard's sentences."""
-    params = [p.copy() for p in start]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    # small shards are passed over more than once
-    rng, passes = np.random.default_rng(seed), -(-s.min_steps * s.batch // max(1, len(rows)))
-    order = np.concatenate([rng.permutation(len(rows)) for _ in range(max(1, min(s.min_steps, passes)))])
-    for step, at in enumerate(range(0, len(order), s.batch), 1):
-        chosen = order[at : at + s.batch]
-        sizes = np.array([len(rows[i]) for i in chosen])
-        index = np.concatenate([rows[i] for i in chosen])
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        used, place = np.unique(index, return_inverse=True)
-        embeddings, weights, bias = params
-        hidden = np.add.reduceat(embeddings[index], begin, axis=0) / sizes[:, None]
-        error = (1 / (1 + np.exp(-(hidden @ weights + bias))) - labels[chosen]) * (10 / len(chosen))
-        back = np.repeat((error @ weights.T) / sizes[:, None], sizes, axis=0)
-        grad = np.stack([np.bincount(place, back[:, k], minlength=len(used)) for k in range(s.dim)], axis=1).astype(np.float32)
-        for k, (g, where) in enumerate(((grad, used), (hidden.T @ error, slice(None)), (error.sum(axis=0), slice(None)))):
-            m, v = moments[k]
-            m[where] = 0.9 * m[where] + 0.1 * g
-            v[where] = 0.99 * v[where] + 0.01 * g * g
-            params[k][where] -= s.rate * (m[where] / (1 - 0.9**step)) / (np.sqrt(v[where] / (1 - 0.99**step)) + 1e-8)
-    return tuple(params)
+def _gradient(index: np.ndarray, sizes: np.ndarray, labels: np.ndarray, params: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(features used, their gradients, gradient of weights, of bias), summed over sentences of ``sizes`` features."""
+    embeddings, weights, bias = params
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    used, place = np.unique(index, return_inverse=True)
+    hidden = np.add.reduceat(embeddings[index], begin, axis=0) / sizes[:, None]
+    error = 1 / (1 + np.exp(-(hidden @ weights + bias))) - labels
+    back = np.repeat((error @ weights.T) / sizes[:, None], sizes, axis=0)
+    grad = np.stack([np.bincount(place, back[:, k], minlength=len(used)) for k in range(embeddings.shape[1])], axis=1)
+    return used, grad, hidden.T @ error, error.sum(axis=0)
+
+
+def _flat(arrays: tuple[np.ndarray, ...]) -> bytes:
+    return b"".join(a.astype(np.float32).tobytes() for a in arrays)
+
+
+class Adam:
+    """Parameters and their moments; a step follows each summed gradient."""
+
+    def __init__(self, params: tuple[np.ndarray, ...], rate: float) -> None:
+        self.params, self.rate, self.step = params, rate, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+    def follow(self, grads: tuple[np.ndarray, ...]) -> None:
+        self.step += 1
+        for p, (m, v), g in zip(self.params, self.moments, grads, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, areas: list[str], s: Settings) -> DataFrame:
@@ -221,70 +229,84 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], s: Settings
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            rows, marks = [], []
-            for text, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, marks, slices = [], [], []
+            for text, m, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for words in sentences_of(text):
                     row = [k for w in words for f in features_of(w) if (k := known.get(f)) is not None]
                     if row:
                         rows.append(row)
                         marks.append(m)
+                        slices.append(part)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.float32()))], names=["row", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.float32())), pa.array(slices, pa.int32())], names=["row", "marks", "slice"])
 
-    by_shard = fit.repartition(s.shards, F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(s.shards)))
-    sentences = Staged(by_shard.select("text", "marks").mapInArrow(index, "row array<int>, marks array<float>"), "area-sentences")
+    part = lambda of, n: F.pmod(F.xxhash64(F.lit(of), "doc_id"), F.lit(n)).cast("int")
+    by_shard = fit.repartition(s.shards, part("shard", s.shards)).select("text", "marks", part("slice", s.slices).alias("slice"))
+    sentences = Staged(by_shard.mapInArrow(index, "row array<int>, marks array<float>, slice int"), "area-sentences", partition="slice")
 
-    def round_of(params: tuple[np.ndarray, ...], number: int):
+    def gradients(params: tuple[np.ndarray, ...], number: int) -> tuple[np.ndarray, ...] | None:
+        """The mean gradient over one slice: those of all tasks summed, in the order of their arrival."""
         sent = spark.sparkContext.broadcast(params)
 
-        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, labels_ = [], []
+        def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, sizes, labels_ = [], [], []
             for batch in batches:
-                flat, offsets = batch.column(0).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
-                rows += np.split(flat, offsets[1:-1] - offsets[0])
+                index.append(batch.column(0).flatten().to_numpy())
+                sizes.append(np.diff(batch.column(0).offsets.to_numpy()))
                 labels_.append(batch.column(1).flatten().to_numpy().reshape(len(batch), -1))
-            if rows:
-                new = _shard_steps(rows, np.concatenate(labels_), sent.value, s, number)
-                blob = b"".join(p.astype(np.float32).tobytes() for p in new)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([blob], pa.binary())], names=["n", "params"])
-
-        # files may be read together, but never more tasks than shards take part
-        return sentences.df.coalesce(s.shards).mapInArrow(steps, "n long, params binary")
+            if sum(map(len, sizes)):
+                used, *grads = _gradient(np.concatenate(index), np.concatenate(sizes), np.concatenate(labels_), sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, sizes))], pa.int64()), pa.array([used.astype(np.int32).tobytes()]), pa.array([_flat(grads)])], names=["n", "used", "grads"])
+
+        # one slice, by its folder; files may be read together, but never more tasks than shards take part
+        part = sentences.df.where(F.col("slice") == number % s.slices).select("row", "marks")
+        total, n = [np.zeros_like(p) for p in params], 0
+        # one row per shard
+        for r in part.coalesce(s.shards).mapInArrow(of_task, "n long, used binary, grads binary").toLocalIterator():
+            used, flat, at = np.frombuffer(r.used, np.int32), np.frombuffer(r.grads, np.float32), len(r.used) // 4 * s.dim
+            total[0][used] += flat[:at].reshape(-1, s.dim)
+            for t in total[1:]:
+                t += flat[at : at + t.size].reshape(t.shape)
+                at += t.size
+            n += r.n
+        sent.unpersist()
+        return tuple(t / n for t in total) if n else None
 
     rng = np.random.default_rng(0)
-    params = (
-        rng.normal(0, 0.1, (len(vocabulary), s.dim)).astype(np.float32),
-        rng.normal(0, 0.1, (s.dim, len(areas))).astype(np.float32),
-        np.full(len(areas), -2.0, np.float32),
+    adam = Adam(
+        (
+            rng.normal(0, 0.1, (len(vocabulary), s.dim)).astype(np.float32),
+            rng.normal(0, 0.1, (s.dim, len(areas))).astype(np.float32),
+            np.full(len(areas), -2.0, np.float32),
+        ),
+        s.rate,
     )
-    for number in range(s.rounds):
-        flat, n = np.zeros(sum(p.size for p in params)), 0
-        for r in round_of(params, number).toLocalIterator():
-            flat += np.frombuffer(r.params, np.float32) * float(r.n)
-            n += r.n
-        if not n:
-            return None
-        flat, new, at = (flat / n).astype(np.float32), [], 0
-        for p in params:
-            new.append(flat[at : at + p.size].reshape(p.shape))
-            at += p.size
-        params = tuple(new)
+    for number in range(s.steps):
+        grads = gradients(adam.params, number)
+        if grads is not None:
+            adam.follow(grads)
+    if not adam.step:
+        return None
+    params = adam.params
     model = Model(areas, vocabulary, *params)
     model.threshold = _best_threshold(sample.df.where("held_out"), model, s)
+    sample.drop()
+    sentences.drop()
     return model
 
 
 def _best_threshold(held_out: DataFrame, model: Model, s: Settings) -> float:
     """The threshold with the best F1 over held-out documents; the middle of the best ones at ties."""
-    grid = [0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+    grid = [k / 20 for k in range(8, 19)]
     shared = held_out.sparkSession.sparkContext.broadcast(model)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, out = Scorer(shared.value), np.zeros((len(grid), 3), np.int64)
         for batch in batches:
             truth = np.array(batch.column(1).to_pylist(), bool).reshape(len(batch), -1)
+            z, n = scorer.sentences(batch.column(0).to_pylist())
             for k, t in enumerate(grid):
-                marks = scorer.decide(batch.column(0).to_pylist(), s.min_sentences, t)
+                marks = scorer.marks(z, n, s.min_sentences, t)
                 out[k] += ((marks & truth).sum(), (marks & ~truth).sum(), (~marks & truth).sum())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(grid))), *(pa.array(out[:, i]) for i in range(3))], names=["k", "tp", "fp", "fn"])
 

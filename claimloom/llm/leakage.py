@@ -1,48 +1,55 @@
 """Evaluation texts leaking into training text.
 
-1. *Scan.*  Every document is read once, whole.  Words are compared without
-   case, punctuation, apostrophes, hyphens and line ends (a word cut at a line
-   end is joined).  Where five words in a row are five words in a row of some
-   item, the n-gram's number is noted.  Documents with a hit go to a staged table
-   with their word numbers.
-2. *Rare seeds.*  The document frequency of every n-gram over all documents tells
-   the seeds of an item: all its n-grams except the most frequent ones, left out
-   only as long as those together cover fewer words than a leak needs.  So each
-   leak holds at least one seed, whatever it copies, while stock sentences start
-   no candidates.
-3. *Alignment.*  Each candidate pair is aligned by Smith-Waterman over words
-   (match 2, mismatch -1, gap -1), many pairs at a time.  A copy with edits keeps
-   a high score, as edits only cost their own words.
-4. *Exact check.*  The words of the item inside copied stretches of five or more
-   words are counted; ``share`` is their part of the item.
-
-Items are processed in blocks of at most ``BLOCK_WORDS`` words; only a block's
-n-grams are sent to the workers, which is the size bound of what is broadcast.
+1. *Scan.*  Every document is read once, whole, however many items there are.
+   Words are compared without case, punctuation, apostrophes, hyphens and line ends
+   (a word cut at a line end is joined).  The n-grams of the items are marked in a
+   Bloom filter of fixed size; where a document's words pass it, the passage around
+   the hits is kept: the numbers of its words and the n-grams in it.
+2. *Rare seeds.*  Passages and items are joined on n-grams, which drops what the
+   filter let through by chance and gives every n-gram's document frequency.  The
+   seeds of an item are all its n-grams except the most frequent ones, left out only
+   as long as those together cover fewer words than a leak needs.  So each leak holds
+   at least one seed, whatever it copies, while stock sentences start no candidates.  A join on seeds gives the candidates.
+3. *Alignment.*  Each passage of a candidate is aligned with the item by
+   Smith-Waterman over words (match 2, mismatch -1, gap -1), many pairs at a time.
+   An edited copy keeps a high score, as edits only cost their own words:
+   ``edited_copies`` are the candidates whose score reaches a share of the item's.
+4. *Exact check.*  ``find_leaks`` are the candidates in which the words of the item
+   inside copied stretches of ``STRETCH`` or more words reach the share.
+
+Words and n-grams are numbers of 62 bits.
 
 Defined results: null and empty texts carry nothing and are carried by nothing;
-an item of fewer than five words is never carried; repeated rows of a document
-give one row per item; repeated items are items of their own; texts may be of any
-length; empty tables give an empty result; further columns are ignored.
+rows without an id are left out; an item of fewer than five words is never carried;
+repeated rows of a document give one row per item, the best; repeated items are
+items of their own; texts may be of any length; empty tables give an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.session import Staged
 
-N = 5
-BLOCK_WORDS = 1_000_000
+#: Words of a copied stretch, and of a seed.
+STRETCH, SEED = 5, 4
+#: Words kept on both sides of a hit, for the alignment.
+MARGIN = 32
+#: The size of what is sent to the workers: 2 to this power of bits.
+FILTER_BITS = 27
 MATCH, MISMATCH, GAP = 2, -1, -1
+MAX_CACHE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POSITIVE = np.uint64((1 << 62) - 1)
 
 _APOSTROPHES = str.maketrans("", "", "'’`´")
 _HYPHENS = re.compile("(?<=\\w)[-\u2010\u2011\u00ad](?:[ \\t]*\\r?\\n[ \\t]*)?(?=\\w)")
@@ -61,52 +68,51 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text)
 
 
-def _keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(at), np.uint64)
+class Numbers(dict):
+    """The number of a word, kept once made."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MAX_CACHE:
+            self.clear()
+        number = self[word] = (xxhash.xxh64_intdigest(word) & ((1 << 62) - 1)) or 1
+        return number
+
+
+def numbers_of(text: str | None, numbers: Numbers) -> list[int]:
+    return list(map(numbers.__getitem__, words_of(text)))
+
+
+def grams_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of all n-grams of a sequence of word numbers; those across a 0 mean nothing."""
+    places = max(0, len(ids) - n + 1)
+    key = np.zeros(places, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(N):
-            key = key * _BASE + ids[at + k].astype(np.uint64)
-    return key
-
-
-class Block:
-    """The n-grams of some items; what the workers get."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        number: dict[tuple[int, ...], int] = {}
-        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # id, word numbers, n-gram number at each place
-        for item_id, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            grams = [number.setdefault(tuple(ids[i : i + N]), len(number)) for i in range(len(ids) - N + 1)]
-            self.items.append((item_id, np.array(ids, np.int32), np.array(grams, np.int32)))
-        grams = np.array(list(number), np.int32).reshape(-1, N)
-        keys = _keys(grams.ravel(), np.arange(len(grams)) * N)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.grams, self.numbers = keys[order], grams[order], order.astype(np.int32)
-        self.n_grams = len(number)
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of the block's n-grams in a sequence of word numbers."""
-        if len(ids) < N or not self.n_grams:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        known = ids > 0
-        whole = known[: len(ids) - N + 1].copy()
-        for k in range(1, N):
-            whole &= known[k : len(ids) - N + 1 + k]
-        at = np.flatnonzero(whole)
-        key = _keys(ids, at)
-        left, right = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        places, numbers = [], []
-        for shift in range(int((right - left).max(initial=0))):  # more than one only where keys collide
-            there = np.flatnonzero(left + shift < right)
-            slot, place = left[there] + shift, at[there]
-            same = (self.grams[slot] == ids[place[:, None] + np.arange(N)]).all(axis=1)
-            places.append(place[same])
-            numbers.append(self.numbers[slot[same]])
-        if not places:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        return np.concatenate(places), np.concatenate(numbers)
+        for k in range(n):
+            key = (key ^ (key >> np.uint64(29))) * _BASE + ids[k : k + places].astype(np.uint64)
+        key ^= key >> np.uint64(31)
+    return (key & _POSITIVE).astype(np.int64)
+
+
+class Filter:
+    """A Bloom filter with two marks per n-gram."""
+
+    def __init__(self, bits: int = FILTER_BITS) -> None:
+        self.mask = np.int64((1 << bits) - 1)
+        self.marks = np.zeros(1 << (bits - 3), np.uint8)
+
+    def _places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        yield grams & self.mask
+        yield (grams >> 30) & self.mask
+
+    def add(self, grams: np.ndarray) -> None:
+        for at in self._places(grams):
+            np.bitwise_or.at(self.marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def may_hold(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones(len(grams), bool)
+        for at in self._places(grams):
+            out &= (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def needed_words(n_words: int, min_share: float) -> int:
@@ -114,37 +120,34 @@ def needed_words(n_words: int, min_share: float) -> int:
     return max(1, int(np.ceil(n_words * min_share - 1e-9)))
 
 
-def covered(places: np.ndarray, n_words: int) -> np.ndarray:
+def covered(places: np.ndarray, n_words: int, n: int = STRETCH) -> np.ndarray:
     """Marks of the words inside n-grams that start at the places."""
     edge = np.zeros(n_words + 1, np.int32)
     np.add.at(edge, places, 1)
-    np.add.at(edge, np.minimum(places + N, n_words), -1)
+    np.add.at(edge, np.minimum(places + n, n_words), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def choose_seeds(block: Block, frequency: np.ndarray, min_share: float) -> dict[int, list[int]]:
-    """Seed n-gram number -> indexes of items it starts a candidate for."""
-    seeds: dict[int, list[int]] = defaultdict(list)
-    for index, (_, ids, grams) in enumerate(block.items):
-        if not len(grams):
-            continue
-        need = needed_words(len(ids), min_share)
-        skipped = np.zeros(len(ids), bool)
-        kept = set(grams.tolist())
-        for gram in sorted(kept, key=lambda g: (-frequency[g], g)):
-            if frequency[gram] <= 1:
-                break
-            more = skipped.copy()
-            for place in np.flatnonzero(grams == gram):
-                more[place : place + N] = True
-            if more.sum() >= need:
-                break
-            skipped = more
-            kept.discard(gram)
-        for gram in kept:
-            if frequency[gram]:
-                seeds[gram].append(index)
-    return dict(seeds)
+def choose_seeds(grams: np.ndarray, frequency: np.ndarray, min_share: float) -> np.ndarray:
+    """The seeds of one item: its n-grams by place, each with its document frequency."""
+    n_words = len(grams) + SEED - 1
+    need = needed_words(n_words, min_share)
+    distinct, first, which = np.unique(grams, return_index=True, return_inverse=True)
+    order = np.lexsort((distinct, -frequency[first]))
+
+    def reach(left_out: int) -> int:
+        """Words inside the most frequent n-grams."""
+        out = np.zeros(len(distinct), bool)
+        out[order[:left_out]] = True
+        return int(covered(np.flatnonzero(out[which]), n_words, SEED).sum())
+
+    # n-grams of one document need not be left out; the more are, the farther they reach, so the most that may go is found by halving
+    low, high = 0, int((frequency[first] > 1).sum())
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if reach(middle) < need else (low, middle - 1)
+    kept = order[low:]
+    return distinct[kept[frequency[first][kept] > 0]]
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 4_000_000) -> list[int]:
@@ -159,15 +162,15 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 4_00
             batch.append(order.pop(0))
         width = max(len(pairs[i][1]) for i in batch)
         height = max(len(pairs[i][0]) for i in batch)
-        doc = np.full((len(batch), width), -1, np.int32)
-        item = np.zeros((len(batch), height), np.int32)
+        doc = np.full((len(batch), width), -1, np.int64)
+        item = np.zeros((len(batch), height), np.int64)
         for k, i in enumerate(batch):
             item[k, : len(pairs[i][0])], doc[k, : len(pairs[i][1])] = pairs[i]
         row = np.zeros((len(batch), width + 1), np.int32)
         best = np.zeros(len(batch), np.int32)
         ramp = -GAP * np.arange(width + 1, dtype=np.int32)
         for j in range(height):
-            hit = (doc == item[:, j, None]) & (item[:, j, None] > 0)
+            hit = (doc == item[:, j, None]) & (item[:, j, None] != 0)
             new = np.zeros_like(row)
             new[:, 1:] = np.maximum(row[:, :-1] + np.where(hit, MATCH, MISMATCH), row[:, 1:] + GAP)
             np.maximum(new, 0, out=new)
@@ -179,102 +182,138 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 4_00
     return out
 
 
-_HITS = "doc_id long, grams array<int>, words array<int>"
-_LEAKS = "doc_id long, item_id long, item_words int, copied_words int, share double, alignment double"
+_PASSAGES = "doc_id long, words array<long>, grams array<long>"
+_ITEMS = "item_id long, words array<long>, grams array<long>"
+_PAIRS = "doc_id long, item_id long, item_words int, copied_words int, share double, alignment double"
+
 
+def _arrays(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-def _leaks_of_block(documents: DataFrame, block: Block, min_share: float) -> DataFrame:
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(block)
-    # fewer n-grams than this cannot make the share for any item
-    least = min((-(-needed_words(len(ids), min_share) // N) for _, ids, g in block.items if len(g)), default=1)
+
+def _numbered_items(items: DataFrame) -> DataFrame:
+    """(item_id, words, grams): the numbers of every item's words, and its n-grams by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for batch in batches:
+            out = []
+            for item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.array(numbers_of(text, numbers), np.int64)
+                if len(ids) >= STRETCH:
+                    out.append((item_id, ids, grams_of(ids, SEED)))
+            yield _arrays(out, ["item_id", "words", "grams"])
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").mapInArrow(run, _ITEMS)
+
+
+def _passages(documents: DataFrame, marks: Filter) -> DataFrame:
+    """(doc_id, words, grams): the passages around hits, a 0 after each, and the n-grams hit."""
+    shared = documents.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        get = b.vocabulary.get
+        marked, numbers = shared.value, Numbers()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for start in range(0, len(doc_ids), 256):
-                ids, ends = [], []
+                flat, ends = [], []
                 for text in texts[start : start + 256]:
-                    ids += [get(w, 0) for w in words_of(text.as_py())]
-                    ids.append(0)  # no n-gram runs from one text into the next
-                    ends.append(len(ids))
-                ids = np.array(ids, np.int32)
-                places, numbers = b.hits(ids)
-                order = np.argsort(places, kind="stable")
-                places, numbers = places[order], numbers[order]
-                cut = np.searchsorted(places, [0, *ends])
-                out = []
+                    flat += numbers_of(text.as_py(), numbers)
+                    flat.append(0)  # no n-gram runs from one text into the next
+                    ends.append(len(flat))
+                ids = np.array(flat, np.int64)
+                grams = grams_of(ids, SEED)
+                hit = marked.may_hold(grams)
+                breaks = np.flatnonzero(ids == 0)
+                for k in range(SEED):
+                    at = breaks - k
+                    hit[at[(at >= 0) & (at < len(hit))]] = False
+                places = np.flatnonzero(hit)
+                cut, out = np.searchsorted(places, [0, *ends]), []
                 for k in np.flatnonzero(np.diff(cut)):
-                    grams = np.unique(numbers[cut[k] : cut[k + 1]])
-                    words = None
-                    if len(grams) >= least:
-                        words = ids[(ends[k - 1] if k else 0) : ends[k] - 1]
-                    out.append((doc_ids[start + k], grams, words))
+                    mine = places[cut[k] : cut[k + 1]]
+                    first, last = (ends[k - 1] if k else 0), ends[k] - 1
+                    # hits so near that their margins touch are one passage
+                    apart = np.flatnonzero(np.diff(mine) > 2 * MARGIN + SEED) + 1
+                    words = []
+                    for group in np.split(mine, apart):
+                        words += [ids[max(first, group[0] - MARGIN) : min(last, group[-1] + SEED + MARGIN)], [0]]
+                    out.append((doc_ids[start + k], np.concatenate(words).astype(np.int64), np.unique(grams[mine])))
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in (1, 2))],
-                        names=["doc_id", "grams", "words"],
-                    )
-
-    hits = Staged(documents.mapInArrow(scan, _HITS), "leak-hits")
-    # one number per n-gram of the block, which bounds what comes to the driver
-    frequency = np.zeros(block.n_grams, np.int64)
-    for gram, n in hits.df.select(F.explode("grams").alias("g")).groupBy("g").count().toLocalIterator():
-        frequency[gram] = n
-    seeds = spark.sparkContext.broadcast(choose_seeds(block, frequency, min_share))
+                    yield _arrays(out, ["doc_id", "words", "grams"])
+
+    return documents.mapInArrow(scan, _PASSAGES)
+
+
+def align_items(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, item_words, copied_words, share, alignment) of every candidate, aligned and checked.
+
+    ``share``: the part of the item's words in copied stretches; ``alignment``: the best score of a passage over the item's own.
+    """
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    numbered = Staged(_numbered_items(items), "leak-items")
+    marks = Filter()
+    for r in numbered.df.select("grams").toLocalIterator():  # one item at a time; only the filter stays
+        marks.add(np.array(r.grams, np.int64))
+    passages = Staged(_passages(docs, marks), "leak-passages")
+    hits = passages.df.select("doc_id", F.explode("grams").alias("gram"))
+    by_place = numbered.df.select("item_id", F.posexplode("grams").alias("place", "gram"))
+    # repeated rows of a document may count more than once, which leaves the seeds right
+    frequency = Staged(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(by_place.select("gram").distinct(), "gram", "left_semi"), "leak-frequency")
+    # an item is one text, so its n-grams fit a row
+    counted = by_place.join(frequency.df, "gram", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", "gram", F.coalesce("n", F.lit(0)).alias("n")))).alias("g"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grams = [], []
+            for item_id, g, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seeds = choose_seeds(np.array(g, np.int64), np.array(n, np.int64), min_share)
+                ids += [item_id] * len(seeds)
+                grams += seeds.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64())], names=["item_id", "gram"])
+
+    seeds = counted.select("item_id", F.col("g.gram").alias("gram"), F.col("g.n").alias("n")).mapInArrow(choose, "item_id long, gram long")
+    candidates = Staged(hits.join(seeds, "gram").select("doc_id", "item_id").distinct(), "leak-candidates")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, starts = shared.value, seeds.value
         for batch in batches:
-            found, pairs = [], []
-            for doc_id, grams, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if words is None:
-                    continue
-                candidates = {i for g in grams for i in starts.get(g, ())}
-                doc = None
-                for index in candidates:
-                    item_id, ids, item_grams = b.items[index]
-                    if doc is None:
-                        doc, grams = np.array(words, np.int32), np.array(grams, np.int32)
-                    copied = int(covered(np.flatnonzero(np.isin(item_grams, grams)), len(ids)).sum())
-                    if copied < needed_words(len(ids), min_share):
-                        continue
-                    own = np.flatnonzero(np.isin(doc, ids))
-                    pairs.append((ids, doc[max(0, own[0] - len(ids)) : own[-1] + len(ids)]))
-                    found.append((doc_id, item_id, len(ids), copied, copied / len(ids)))
-            if found:
-                scores = smith_waterman(pairs)
-                rows = [(*f, s / (MATCH * f[2])) for f, s in zip(found, scores, strict=True) if s >= MATCH * N]
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "item_words", "copied_words", "share", "alignment"])
-
-    return hits.df.where(F.col("words").isNotNull()).mapInArrow(align, _LEAKS)
-
-
-def find_leaks(
-    documents: DataFrame,
-    items: DataFrame,
-    min_share: float = 1 / 3,
-    block_words: int = BLOCK_WORDS,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """(doc_id, item_id, item_words, copied_words, share, alignment) of every document that carries the share of an item."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    out, block, size = None, [], 0
-
-    def finish(out: DataFrame | None) -> DataFrame:
-        leaks = _leaks_of_block(docs, Block(block), min_share)
-        return leaks if out is None else out.unionByName(leaks)
-
-    # the driver holds one block of items at a time, never the documents
-    for r in items.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
-        words = words_of(r.text)
-        if size and size + len(words) > block_words:
-            out, block, size = finish(out), [], 0
-        block.append((r.item_id, words))
-        size += len(words)
-    return finish(out).distinct()
+            found, pairs, owner = [], [], []
+            for d, i, words, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                doc, item = words.values.to_numpy(), item.values.to_numpy()
+                copied = int(covered(np.flatnonzero(np.isin(grams_of(item, STRETCH), grams_of(doc, STRETCH))), len(item)).sum())
+                for passage in np.split(doc, np.flatnonzero(doc == 0)):
+                    own = np.flatnonzero(np.isin(passage, item))
+                    if len(own):
+                        pairs.append((item, passage[max(0, own[0]) : own[-1] + 1]))
+                        owner.append(len(found))
+                found.append([d, i, len(item), copied, copied / len(item), 0.0])
+            for k, score in zip(owner, smith_waterman(pairs), strict=True):
+                found[k][5] = max(found[k][5], score / (MATCH * found[k][2]))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[c] for r in found], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "item_words", "copied_words", "share", "alignment"]
+            )
+
+    pairs = candidates.df.join(passages.df.select("doc_id", "words"), "doc_id").join(numbered.df.select("item_id", F.col("words").alias("item")), "item_id")
+    # few bytes are much work here, so they are spread, not coalesced
+    tasks = max(2 * documents.sparkSession.sparkContext.defaultParallelism, candidates.df.count() // 20_000)
+    rows = pairs.select("doc_id", "item_id", "words", "item").repartition(tasks).mapInArrow(align, _PAIRS)
+    aligned = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("item_words", "copied_words", "share", "alignment")).alias("r")).select("doc_id", "item_id", "r.*")
+    out = Staged(aligned, "leak-aligned")
+    for staged in (numbered, passages, frequency, candidates):
+        staged.drop()
+    return out.df
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The candidates of ``align_items`` that carry the share of an item in copied stretches."""
+    aligned = align_items(documents, items, min_share, doc_id, text)
+    # any copied stretch scores as much; the share decides, counted in whole words
+    copied = F.col("alignment") * F.col("item_words") >= STRETCH - 1e-9
+    return aligned.where(copied & (F.col("copied_words") >= F.greatest(F.lit(1), F.ceil(F.col("item_words") * min_share - 1e-9))))
+
+
+def edited_copies(documents: DataFrame, items: DataFrame, min_alignment: float = 0.5, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The candidates with a passage that aligns with an item by ``min_alignment`` of its greatest score: copies, edited or not."""
+    return align_items(documents, items, min_share, doc_id, text).where(F.col("alignment") >= min_alignment)

@@ -29,7 +29,12 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored words, removed lines and joined pages of body elements."""
-    return pages.repair_pages(table(spark, sf_dir, "elements"))
+    return pages.repair_pages(table(spark, sf_dir, "elements"), titles=table(spark, sf_dir, "source_docs"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text itself: one row per continuous paragraph."""
+    return pages.paragraphs(table(spark, sf_dir, "elements"), titles=table(spark, sf_dir, "source_docs"))
 
 
 def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +83,11 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage that aligns with an item: copies, edited or not, and how far."""
+    return leakage.edited_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id", F.round("alignment", 4).alias("alignment"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subject areas of every document."""
     return areas.document_areas(*(table(spark, sf_dir, t) for t in ("documents", "area_labels", "subject_areas")))
@@ -89,7 +99,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(p9_found(spark, sf_dir), "doc_id").groupBy("area", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_repairs, p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_repairs, p3_paragraphs, p4_found, p4_sizes, p7_packed, p7_unused, p8_found, p8_items, p8_edited, p9_found, p9_composition)}
 
 _P4 = """
 WITH RECURSIVE e AS (

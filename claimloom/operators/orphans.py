@@ -1,16 +1,24 @@
 """References to records that do not exist: a keyed pending-orphan state.
 
-``OrphanState`` holds two keyed tables.
+``OrphanStore`` holds two keyed tables on disk, as logs by batch.
 
-* ``index``: one row per parent key with the arrival of its first live row, its
-  latest event and whether that event was a deletion;
-* ``refs``: one row per reference with its status.
+* ``index``: per parent key the arrival of its first live row, its latest event
+  and whether that event was a deletion; rows of one key merge by an aggregation,
+  so a batch only adds its own;
+* ``refs``: one row per reference with its status; a later batch adds a row for a
+  reference whose status it changes, and the last row counts.
 
 ``advance`` folds a batch of new references and new parent events into the
 state: new references probe the index, arriving parents resolve waiting
 orphans, deletions reopen references and late parent rows with an early arrival
-time heal them.  Only keys touched by the batch are looked at again.  Feeding
-events in any number of batches gives the same state as feeding them at once.
+time heal them.  Only keys touched by the batch are looked at again: logs are
+sorted by key bucket, and only the touched buckets are read.  Every so many
+batches the logs are merged into one base, so that a read never meets more.
+Feeding events in any number of batches gives the same state as feeding them at
+once (``first_state``).
+
+A batch is written under its number and reads only lower numbers, so a batch that
+is run again replaces itself, and a new process goes on from what lies on disk.
 
 Statuses
     ``linked``    a live parent had arrived by the time of the reference
@@ -22,7 +30,8 @@ Defined results: null keys and null elements of arrays are no references; keys
 are compared trimmed and lower-cased; a reference with a null time can have no
 parent by its time and is an orphan in a null month; parent rows with a null
 arrival never count as arrived; a null deletion mark counts as live; repeated
-rows count once; empty inputs give empty outputs; other columns are ignored.
+rows are one reference, counted as often as they occur in ``snapshot``; empty
+inputs give empty outputs; other columns are ignored.
 
 Scale: the index is pre-aggregated on the map side to one row per key before it
 is joined, so the only skewed side is the reference side, which the adaptive
@@ -90,24 +99,10 @@ def build_index(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The index after both sets of events."""
-    return (
-        old.unionByName(new)
-        .groupBy("target", "ref_id")
-        .agg(
-            F.min("live_at").alias("live_at"),
-            F.max_by("last_deleted", F.struct("last_at", ~F.col("last_deleted"))).alias("last_deleted"),
-            F.max("last_at").alias("last_at"),
-        )
-        .select("target", "ref_id", "live_at", "last_at", "last_deleted")
-    )
-
-
 def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
     """References with ``in_time`` and ``status`` against an index."""
     return (
-        refs.join(index, ["target", "ref_id"], "left")
+        refs.join(index, _KEY, "left")
         .withColumn("in_time", F.coalesce(F.col("live_at") <= F.col("ref_at"), F.lit(False)))
         .withColumn(
             "status",
@@ -117,40 +112,20 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
             .otherwise("resolved"),
         )
         .withColumn("resolved_at", F.when(F.col("in_time"), F.col("ref_at")).otherwise(F.col("live_at")))
-        .select("ref_table", "ref_column", "row_id", "target", "ref_id", "ref_at", "in_time", "status", "resolved_at")
+        .drop("live_at", "last_at", "last_deleted")
     )
 
 
+_REF = ["ref_table", "ref_column", "row_id", "target", "ref_id", "ref_at"]
+_KEY = ["target", "ref_id"]
+_STATE = REF_SCHEMA + ", n long, in_time boolean, status string, resolved_at timestamp_ntz"
+
+
 @dataclass
 class OrphanState:
-    """See the module text."""
+    """References with their status."""
 
-    index: DataFrame
     refs: DataFrame
-    _staged: tuple[Staged, ...] = ()
-
-    @staticmethod
-    def empty(spark: SparkSession) -> OrphanState:
-        return OrphanState(
-            spark.createDataFrame([], INDEX_SCHEMA),
-            spark.createDataFrame([], REF_SCHEMA + ", in_time boolean, status string, resolved_at timestamp_ntz"),
-        )
-
-    def advance(self, new_refs: DataFrame, new_events: DataFrame) -> OrphanState:
-        """The state after one more batch; lazy, see ``persist``."""
-        delta = build_index(new_events)
-        index = merge_index(self.index, delta)
-        plain = ["ref_table", "ref_column", "row_id", "target", "ref_id", "ref_at"]
-        touched = self.refs.join(delta.select("target", "ref_id"), ["target", "ref_id"], "left_semi").select(plain)
-        resting = self.refs.join(delta.select("target", "ref_id"), ["target", "ref_id"], "left_anti")
-        return OrphanState(index, resting.unionByName(probe(touched.unionByName(new_refs), index)), self._staged)
-
-    def persist(self) -> OrphanState:
-        """Write the state to the shared folder and drop the one it replaces."""
-        kept = Staged(self.index, "orphan-index"), Staged(self.refs, "orphan-refs")
-        for old in self._staged:
-            old.drop()
-        return OrphanState(kept[0].df, kept[1].df, kept)
 
     def unmet(self) -> DataFrame:
         """References for which no live parent had arrived by their time."""
@@ -166,13 +141,120 @@ class OrphanState:
         """Counts per table, column, month and status."""
         return self.refs.groupBy(
             "ref_table", "ref_column", F.date_format("ref_at", "yyyy-MM").alias("ref_month"), "status"
-        ).agg(F.count(F.lit(1)).alias("n_refs"), F.count_if(~F.col("in_time")).alias("n_unmet"))
+        ).agg(F.sum("n").alias("n_refs"), F.sum(F.when(~F.col("in_time"), F.col("n")).otherwise(0)).alias("n_unmet"))
 
 
 def first_state(refs: DataFrame, events: DataFrame) -> OrphanState:
-    """The state after a first batch, without the joins against an empty state."""
-    index = build_index(events)
-    return OrphanState(index, probe(refs, index))
+    """The state after one batch that holds everything, without a store."""
+    return OrphanState(probe(refs, build_index(events)).withColumn("n", F.lit(1)))
+
+
+class OrphanStore:
+    """See the module text."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, merge_every: int = 16) -> None:
+        self.spark, self.path, self.buckets, self.merge_every = spark, path, buckets, merge_every
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _kept(self, kind: str) -> list[tuple[int, int, str]]:
+        """(number, 1 for a base, name) of what has been written whole, in order."""
+        if not self._fs.exists(self._path(kind)):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(kind))]
+        whole = [x for x in names if self._fs.exists(self._path(kind, x, "_SUCCESS"))]
+        return sorted((int(x.split("-")[1]), int(x.startswith("base")), x) for x in whole)
+
+    def last_batch(self) -> int | None:
+        """The number of the last batch folded in."""
+        return max((number for number, _, _ in self._kept("refs")), default=None)
+
+    def _log(self, kind: str, schema: str, before: int) -> DataFrame:
+        """Rows of the last base and the batches after it, below a number; ``batch`` orders them."""
+        kept = [x for x in self._kept(kind) if x[0] < before]
+        base = max((k for k, x in enumerate(kept) if x[1]), default=0)
+        paths = [f"{self.path}/{kind}/{name}" for _, _, name in kept[base:]]
+        if not paths:
+            return self.spark.createDataFrame([], schema + ", bucket int, batch int")
+        return self.spark.read.schema(schema + ", bucket int, batch int").parquet(*paths)
+
+    def _write(self, df: DataFrame, kind: str, name: str) -> None:
+        df.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{self.path}/{kind}/{name}")
+
+    def _in_buckets(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(self.buckets)).cast("int"))
+
+    def advance(self, number: int, new_refs: DataFrame, new_events: DataFrame) -> None:
+        """Fold one more batch in; numbers ascend.  A batch run again starts from the batches before it."""
+        for kind in ("index", "refs"):
+            for n, base, name in self._kept(kind):
+                if n > number or n == number and base:
+                    self._fs.delete(self._path(kind, name), True)
+        self._write(self._in_buckets(build_index(new_events)).withColumn("batch", F.lit(number)), "index", f"batch-{number}")
+        delta = self.spark.read.schema(INDEX_SCHEMA + ", bucket int, batch int").parquet(f"{self.path}/index/batch-{number}")
+        new_refs = self._in_buckets(new_refs.select(_REF))
+        # at most as many numbers as there are buckets
+        touched = [r.bucket for r in delta.select("bucket").union(new_refs.select("bucket")).distinct().collect()]
+        here = F.col("bucket").isin(touched) if len(touched) < self.buckets else F.lit(True)
+        keys = ["bucket", *_KEY]
+        # what is known of the references of these keys; each is looked at again
+        asked = delta.select(keys).union(new_refs.select(keys)).distinct()
+        old = self._log("refs", _STATE, number).where(here).join(asked, keys, "left_semi")
+        old = old.groupBy(*_REF).agg(F.max_by(F.struct("n", "in_time", "status"), "batch").alias("old")).select(*_REF, "old.n", F.struct("old.in_time", "old.status").alias("was"))
+        refs = old.unionByName(new_refs.select(*_REF, F.lit(1).alias("n"), F.lit(None).cast("struct<in_time:boolean,status:string>").alias("was")))
+        refs = refs.groupBy(*_REF).agg(F.sum("n").alias("n"), F.max("was").alias("was"), F.count_if(F.col("was").isNull()).alias("fresh"))
+        index = self._log("index", INDEX_SCHEMA, number).where(here).unionByName(delta).join(asked, keys, "left_semi")
+        probed = probe(self._in_buckets(refs), _merged(index))
+        changed = (F.col("fresh") > 0) | ~F.struct("in_time", "status").eqNullSafe(F.col("was"))
+        self._write(probed.where(changed).drop("was", "fresh").withColumn("batch", F.lit(number)), "refs", f"batch-{number}")
+        if number % self.merge_every == self.merge_every - 1:
+            self._merge(number)
+
+    def _merge(self, number: int) -> None:
+        """Write all up to a batch as one base, and drop what no batch after the base before it reads."""
+        index = _merged(self._log("index", INDEX_SCHEMA, number + 1))
+        self._write(self._in_buckets(index).withColumn("batch", F.lit(number)), "index", f"base-{number}")
+        self._write(self._in_buckets(self.state(number).refs).withColumn("batch", F.lit(number)), "refs", f"base-{number}")
+        for kind in ("index", "refs"):
+            bases = [n for n, base, _ in self._kept(kind) if base]
+            for n, base, name in self._kept(kind):
+                if len(bases) > 1 and (n < bases[-2] or n == bases[-2] and not base):
+                    self._fs.delete(self._path(kind, name), True)
+
+    def state(self, up_to: int | None = None) -> OrphanState:
+        """All references as they stand after a batch, by default the last."""
+        last = self.last_batch() if up_to is None else up_to
+        log = self._log("refs", _STATE, 0 if last is None else last + 1)
+        rest = ["n", "in_time", "status", "resolved_at"]
+        return OrphanState(log.groupBy(*_REF).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*_REF, "r.*"))
+
+
+def _merged(index: DataFrame) -> DataFrame:
+    """One row per parent key of a log."""
+    return index.groupBy(*_KEY).agg(
+        F.min("live_at").alias("live_at"),
+        F.max("last_at").alias("last_at"),
+        F.max_by("last_deleted", F.struct("last_at", ~F.col("last_deleted"))).alias("last_deleted"),
+    )
+
+
+def fold_by_month(refs: DataFrame, events: DataFrame, path: str, buckets: int = 16) -> OrphanStore:
+    """References and parent events folded month by month; those without a time come with the first."""
+    spark = refs.sparkSession
+    month = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit(""))
+    # few files per month, but not one: a month may be a large part of all
+    spread = lambda df: df.repartition("month", F.pmod(F.xxhash64(*_KEY), F.lit(4)))
+    by_month = [Staged(spread(df.withColumn("month", month(at))), label, partition="month") for df, at, label in ((refs, "ref_at", "month-refs"), (events, "at", "month-events"))]
+    r, e = (x.df for x in by_month)
+    store = OrphanStore(spark, path, buckets)
+    months = r.select("month").union(e.select("month")).distinct().orderBy("month").collect()
+    for number, (m,) in enumerate(months):
+        store.advance(number, r.where(F.col("month").eqNullSafe(m)), e.where(F.col("month").eqNullSafe(m)))
+    for x in by_month:
+        x.drop()
+    return store
 
 
 def fact_graph_references(facts: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -10,20 +10,27 @@ unit.  All combinations are enumerated per row (the lists are short literals),
 the one with the least absolute log residual wins, and the row is flagged
 ``ambiguous`` if another combination fits as well but gives other values.
 
-``read_quantities`` applies it to facts.  A quantity is stated by several
-columns (value_raw, value_num, unit, currency, scale, or a table caption).
-Candidates are the number notations (decimal point or decimal comma) times the
-scale statements; the identities are
+``read_quantities`` applies the same choice (``least_residual``) to facts.  A
+quantity is stated by several columns (value_raw, value_num, unit, currency, scale,
+or a table caption).  Candidates are the number notations (decimal point or decimal
+comma) times the scales stated times the units a word may stand for; the identities
+are
 
 * value_num = number in value_raw, wherever value_num is present;
-* a scale stated in several columns is one scale, so the factors agree.
-
-Where no identity separates the candidates the most usual notation comes first
-and the row is flagged.
-
-Defined results: null, empty and very long texts, bare numbers, words without
-digits and numbers followed by something that is no unit give no quantity;
-a null value_num drops its identity; zero and negative values are compared by
+* scale = scale stated, for each column that states one;
+* value = value of the same claim (subject, predicate, period) as other facts
+  restate it, in whatever unit, scale and notation: the median of those facts that
+  the first two identities settle.
+
+The candidate with the least total of absolute log residuals wins.  Where no
+identity separates the candidates the most usual reading comes first and the row is
+flagged.  What a fact states is never replaced: a scale that it lacks is reported by
+``suspect_scales``, which finds facts that are off their claim by just a scale.
+
+Defined results: null and empty texts, bare numbers, words without digits and
+numbers followed by something that is no unit give no quantity; texts may be of any
+length; a null value_num drops its identity; a fact without subject, predicate or
+other facts of its claim lacks the third; zero and negative values are compared by
 magnitude; repeated rows of a fact count once, the latest loaded_at wins and at
 ties the greatest statement; empty tables give empty results; other columns are
 ignored.
@@ -35,11 +42,14 @@ join of the few facts without any unit against captions of tables.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.session import Staged
+
 # --- fixed values -----------------------------------------------------------
 
 #: Scale words (singular forms and usual written forms) and their factors.
@@ -88,6 +98,9 @@ UNITS = [
     ("g gm gms gram grams", "tonne", 0.000001),
 ]
 
+#: A pound of mass, which shares its word with the currency.
+_POUND = 0.00045359237
+
 #: Words beside a number that leave its value alone.
 QUALIFIERS = (
     r"about|approximately|approx\.?|around|nearly|almost|circa|ca\.?|c\.|over|more than|greater than|less than|under|"
@@ -103,7 +116,8 @@ def _alternatives(words: dict[str, object]) -> str:
 
 _SCALE_RE = rf"(?<![\p{{L}}])({_alternatives(SCALES)})(?![\p{{L}}²])\.?"
 _CUR_RE = rf"(us\$|[₹₨$€£]|(?<![\p{{L}}])(?:inr|rs|re|rupees?|usd|dollars?|eur|euros?|gbp|pounds?(?! ?\(lb)|sterling)(?![\p{{L}}]))\.?"
-_NUM_RE = r"\d(?:[\d.,]|[ \u00a0\u2009\u202f'’](?=\d{3}(?!\d)))*\d|\d"
+# possessive, as a loop that can give back is a recursion for each round of it
+_NUM_RE = r"\d(?:[.,]*+(?:[ \u00a0\u2009\u202f'’](?=\d{3}(?!\d)))?\d)*+"
 
 
 def _sql(value: object) -> str:
@@ -182,17 +196,31 @@ def choose_readings(
             )
         )
     known = reduce(lambda a, b: a & b, (logs[name].isNotNull() for name, *_ in terms))
-    out = df.withColumn("_options", F.array_sort(F.filter(F.array(*options), lambda o: o["r"].isNotNull())))
-    best, second = F.try_element_at("_options", F.lit(1)), F.try_element_at("_options", F.lit(2))
+    differ = lambda x, y: reduce(lambda a, b: a | b, (x[f"v_{name}"] != y[f"v_{name}"] for name, *_ in terms))
+    out = df.withColumn("_best", least_residual(F.filter(F.array(*options), lambda o: o["r"].isNotNull()), differ, tolerance))
     for name, *_ in terms:
-        out = out.withColumn(f"{prefix}{name}_unit", best[f"u_{name}"]).withColumn(f"{prefix}{name}_common", best[f"v_{name}"])
+        out = out.withColumn(f"{prefix}{name}_unit", F.col(f"_best.option.u_{name}")).withColumn(f"{prefix}{name}_common", F.col(f"_best.option.v_{name}"))
     return (
-        out.withColumn(f"{prefix}log_residual", best["r"])
-        .withColumn(f"{prefix}ambiguous", ~known | F.coalesce(second["r"] - best["r"] < tolerance, F.lit(False)))
-        .drop("_options")
+        out.withColumn(f"{prefix}log_residual", F.col("_best.option.r"))
+        .withColumn(f"{prefix}ambiguous", ~known | F.coalesce("_best.ambiguous", F.lit(False)))
+        .drop("_best")
     )
 
 
+def least_residual(options: Column, differ: Callable[[Column, Column], Column], tolerance: float = 0.02) -> Column:
+    """struct<option, ambiguous>: of structs that begin with (r, rank) the one with least r, then least rank.
+
+    ambiguous: another one that differs from it fits as well within the tolerance.
+    """
+
+    def chosen(x: Column) -> Column:
+        best = F.get(x, F.lit(0))
+        return F.struct(best.alias("option"), F.exists(x, lambda y: (y["r"] - best["r"] < tolerance) & differ(best, y)).alias("ambiguous"))
+
+    # a one-element transform evaluates the sorted options once
+    return F.get(F.transform(F.array(F.array_sort(options)), chosen), F.lit(0))
+
+
 # --- facts ------------------------------------------------------------------
 
 
@@ -205,14 +233,18 @@ def read_quantities(facts: DataFrame, captions: DataFrame | None = None) -> Data
 
     Columns: fact_id, common_unit, common_value, log_residual, n_readings,
     ambiguous (another reading fits the identities as well), source (``stated``
-    or ``caption``).  captions: the table of ``table_captions``.
+    or ``caption``), claim (a number for subject, predicate and period, or null).
+    captions: the table of ``table_captions``.
 
     The wording around the number is resolved once per distinct wording, not once
     per fact; facts are joined to the resolved wordings.
     """
-    raw = F.replace(F.when(F.length("value_raw") <= 400, F.col("value_raw")), F.lit("'000"), F.lit(" thousand"))
+    raw = F.replace(F.col("value_raw"), F.lit("'000"), F.lit(" thousand"))
+    named = [c for c in ("subject_name", "predicate", "time_value") if c in facts.columns]
+    claim = F.when(F.col("subject_name").isNotNull() & F.col("predicate").isNotNull(), F.xxhash64(*(F.lower(F.btrim(c)) for c in named))) if len(named) == 3 else F.lit(None).cast("long")
     rows = facts.select(
         "fact_id",
+        claim.alias("claim"),
         "loaded_at",
         "value_raw",
         "value_num",
@@ -227,7 +259,7 @@ def read_quantities(facts: DataFrame, captions: DataFrame | None = None) -> Data
     nothing = reduce(lambda a, b: a & b, (F.btrim(F.coalesce(F.col(c), F.lit(""))) == "" for c in _STATED))
     bare = F.coalesce(nothing & F.col("shape").rlike(rf"(?i)^\s*(?:(?:{QUALIFIERS})\s*)?[^\p{{L}}\p{{Sc}}%]*$"), F.lit(False))
     no_caption = F.lit(None).cast("struct<cur:string,scale:double>")
-    kept = ["fact_id", ordering.alias("o"), "value_num", "num", *_KEYS]
+    kept = ["fact_id", "claim", ordering.alias("o"), "value_num", "num", *_KEYS]
     stated = rows.where(~bare).select(*kept, no_caption.alias("caption"))
     alone = rows.where(bare)
     if captions is not None:
@@ -241,8 +273,63 @@ def read_quantities(facts: DataFrame, captions: DataFrame | None = None) -> Data
         alone = alone.select(*kept, no_caption.alias("caption"))
     same = reduce(lambda a, b: a & b, (F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in _KEYS))
     joined = stated.unionByName(alone).alias("f").join(wordings.alias("w"), same, "left").select("f.*", "w.w")
-    latest = joined.select("fact_id", "o", _quantity().alias("q")).groupBy("fact_id").agg(F.max_by("q", "o").alias("q"))
-    return latest.where(F.col("q.common_unit").isNotNull()).select("fact_id", "q.*")
+    q = F.struct("claim", _by_caption().alias("by_caption"), _options().alias("options"))
+    latest = joined.select("fact_id", "o", q.alias("q")).groupBy("fact_id").agg(F.max_by("q", "o").alias("q")).where(F.size("q.options") > 0).select("fact_id", "q.*")
+    staged = Staged(latest, "quantities")
+    first = staged.df.withColumn("best", _chosen(F.col("options")))
+    settled = first.where(~F.col("best.ambiguous"))
+    # only facts that the columns leave open ask for the others of their claim
+    open_ = first.where("best.ambiguous").drop("best")
+    others = restatements(settled.join(open_.select("claim").distinct(), "claim", "left_semi"))
+    asked = open_.join(others, "claim", "left").withColumn("options", F.transform("options", _against_others)).withColumn("best", _chosen(F.col("options")))
+    out = settled.unionByName(asked.select(settled.columns))
+    return out.select(
+        "fact_id",
+        F.col("best.option.unit").alias("common_unit"),
+        F.col("best.option.v").alias("common_value"),
+        F.col("best.option.r").alias("log_residual"),
+        F.size("options").alias("n_readings"),
+        F.col("best.ambiguous").alias("ambiguous"),
+        F.when(F.col("by_caption"), "caption").otherwise("stated").alias("source"),
+        "claim",
+    )
+
+
+def _chosen(options: Column) -> Column:
+    return least_residual(options, lambda x, y: (x["unit"] != y["unit"]) | (F.abs(y["v"] - x["v"]) > 1e-6 * F.abs(x["v"])))
+
+
+def restatements(settled: DataFrame) -> DataFrame:
+    """(claim, others array<struct<unit, log>>): per claim and unit the median log of its facts; a claim has few units."""
+    v = F.col("best.option.v")
+    logs = settled.where(F.col("claim").isNotNull() & (v != 0)).groupBy("claim", F.col("best.option.unit").alias("unit")).agg(F.percentile_approx(F.log(F.abs(v)), 0.5).alias("log"))
+    return logs.groupBy("claim").agg(F.collect_list(F.struct("unit", "log")).alias("others"))
+
+
+#: The residual of a reading in a unit in which no other fact of the claim is stated.
+_OTHER_UNIT = 20.0
+
+
+def _against_others(option: Column) -> Column:
+    """A reading with the residual against the restatements of its claim added."""
+    of_unit = F.filter("others", lambda o: o["unit"] == option["unit"])
+    gap = F.when(F.size(of_unit) > 0, F.round(F.abs(F.log(F.abs(option["v"])) - F.get(of_unit, F.lit(0))["log"]), 6)).when(F.size("others") > 0, F.lit(_OTHER_UNIT)).otherwise(0.0)
+    return F.struct((option["r"] + F.coalesce(gap, F.lit(0.0))).alias("r"), option["rank"].alias("rank"), option["unit"].alias("unit"), option["v"].alias("v"))
+
+
+def suspect_scales(quantities: DataFrame, least: int = 2, tolerance: float = 0.02) -> DataFrame:
+    """(fact_id, common_unit, common_value, factor): facts that are off their claim by just a scale.
+
+    quantities: the result of ``read_quantities``.  At least ``least`` facts restate
+    the claim in that unit; their median is ``factor`` times the fact's value, and the
+    factor is that of a scale word, or one over it.
+    """
+    rows = quantities.where(F.col("claim").isNotNull() & (F.col("common_value") != 0)).withColumn("log", F.log(F.abs("common_value")))
+    medians = rows.groupBy("claim", "common_unit").agg(F.percentile_approx("log", 0.5).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    factors = F.array(*(F.lit(x) for f in sorted(set(SCALES.values())) for x in (f, 1 / f)))
+    gap = F.col("middle") - F.col("log")
+    fits = F.filter(factors, lambda f: F.abs(F.log(f) - gap) < tolerance)
+    return rows.join(medians, ["claim", "common_unit"]).where(F.abs(gap) > 1).withColumn("factor", F.get(fits, F.lit(0))).where("factor IS NOT NULL").select("fact_id", "common_unit", "common_value", "factor")
 
 
 def table_captions(elements: DataFrame) -> DataFrame:
@@ -282,12 +369,14 @@ def _resolve(wordings: DataFrame) -> DataFrame:
         *_KEYS,
         "negative",
         *(_lookup(CURRENCIES, F.regexp_extract(f"t_{c}", _CUR_RE, 1)).alias(f"cur_{c}") for c in columns),
+        F.coalesce(*(F.nullif(F.regexp_extract(f"t_{c}", _CUR_RE, 1), F.lit("")) for c in columns)).isin("pound", "pounds").alias("pounds"),
         *(F.btrim(F.regexp_replace(F.regexp_replace(f"t_{c}", _CUR_RE, " "), r"\bin\b", " ")).alias(f"t_{c}") for c in columns),
     )
     w = w.select(
         *_KEYS,
         "negative",
         F.coalesce(*(f"cur_{c}" for c in columns)).alias("cur"),
+        "pounds",
         *(_without(F.col(f"t_{c}"), _SCALE_RE).alias(f"u_{c}") for c in ("unit", "around")),
         # one scale however often stated
         F.array_distinct(F.filter(F.array(*(_scale_words(F.col(f"t_{c}"))[0] for c in columns)), lambda x: x != 1.0)).alias("stated"),
@@ -299,6 +388,8 @@ def _resolve(wordings: DataFrame) -> DataFrame:
         "negative",
         F.coalesce(_unit_of(F.col("u_unit")), _unit_of(F.col("u_around"))).alias("u"),
         "cur",
+        "pounds",
+        "stated",
         counted.alias("counted"),
         # if columns disagree, the scale nearest the number comes first, their product last
         F.when(F.size("stated") < 2, F.col("stated"))
@@ -310,62 +401,57 @@ def _resolve(wordings: DataFrame) -> DataFrame:
         F.struct(
             F.coalesce("u.name", "cur", F.when(F.col("counted"), "count")).alias("common_unit"),
             (F.coalesce("u.factor", F.lit(1.0)) * F.when(F.col("negative"), -1.0).otherwise(1.0)).alias("factor"),
+            # a word that may also stand for another unit
+            F.when(F.col("u").isNull() & F.col("pounds"), F.struct(F.lit("tonne").alias("unit"), F.when(F.col("negative"), -_POUND).otherwise(_POUND).alias("factor"))).alias("other"),
             "scales",
+            "stated",
         ).alias("w"),
     )
 
 
-def _quantity() -> Column:
-    """The best reading of number notation x scale: struct or null."""
+def _by_caption() -> Column:
+    return F.col("w.common_unit").isNull()
+
+
+def _options() -> Column:
+    """array<struct<r, rank, unit, v>>: all readings, notation x scale x unit, with their residuals against the row's own columns."""
     num = F.regexp_replace("num", r"[^\d.,]", "")
     point = F.regexp_replace(num, ",", "")
     comma = F.replace(F.replace(num, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     notations = F.filter(
         F.array(
-            F.when(num.rlike(r"^\d+(?:,\d{2,3})*(?:\.\d+)?$"), F.struct(point.try_cast("double").alias("n"), F.lit(0).alias("rank"))),
-            F.when(num.rlike(r"^\d{1,3}(?:\.\d{3})*(?:,\d+)?$"), F.struct(comma.try_cast("double").alias("n"), F.lit(1).alias("rank"))),
+            F.when(num.rlike(r"^\d++(?:,\d{2,3})*+(?:\.\d++)?$"), F.struct(point.try_cast("double").alias("n"), F.lit(0).alias("rank"))),
+            F.when(num.rlike(r"^\d{1,3}+(?:\.\d{3})*+(?:,\d++)?$"), F.struct(comma.try_cast("double").alias("n"), F.lit(1).alias("rank"))),
         ),
-        lambda x: x["n"].isNotNull(),
+        lambda x: x["n"] < 1e300,
     )
     one = F.array(F.lit(1.0))
-    by_caption = F.col("w.common_unit").isNull()
+    by_caption = _by_caption()
     scales = F.when(by_caption, F.array(F.coalesce("caption.scale", F.lit(1.0)))).when(F.size("w.scales") > 0, F.col("w.scales")).otherwise(one)
+    stated = F.when(by_caption, F.array().cast("array<double>")).otherwise(F.col("w.stated"))
+    own = F.struct(F.coalesce("w.common_unit", "caption.cur").alias("unit"), F.coalesce("w.factor", F.lit(1.0)).alias("factor"))
+    units = F.when(F.col("w.other").isNotNull(), F.array(own, F.col("w.other"))).otherwise(F.array(own))
     tiny = F.lit(1e-9)
-    readings = F.array_sort(
-        F.flatten(
-            F.transform(
-                notations,
-                lambda n: F.transform(
-                    scales,
-                    lambda s, i: F.struct(
-                        # the identity value_num = number in value_raw, as a log residual
-                        F.when(F.col("value_num").isNull(), 0.0)
-                        .otherwise(F.round(F.abs(F.log(F.greatest(n["n"], tiny)) - F.log(F.greatest(F.abs("value_num"), tiny))), 6))
-                        .alias("r"),
-                        (n["rank"] * 10 + i).alias("rank"),
-                        (n["n"] * s * F.coalesce("w.factor", F.lit(1.0))).alias("v"),
-                    ),
-                ),
-            )
-        )
-    )
-    unit = F.coalesce("w.common_unit", "caption.cur")
 
-    def chosen(x: Column) -> Column:
-        best = F.get(x, F.lit(0))
-        rivals = F.exists(x, lambda y: (y["r"] - best["r"] < 0.02) & (F.abs(y["v"] - best["v"]) > 1e-6 * F.abs(best["v"])))
+    def number_gap(n: Column) -> Column:
+        """value_num = number in value_raw."""
+        return F.when(F.col("value_num").isNull(), 0.0).otherwise(F.abs(F.log(F.greatest(n, tiny)) - F.log(F.greatest(F.abs("value_num"), tiny))))
+
+    def scale_gap(s: Column) -> Column:
+        """scale = scale stated, for each column that states one."""
+        return F.aggregate(stated, F.lit(0.0), lambda a, x: a + F.abs(F.log(s) - F.log(x)))
+
+    def read(n: Column, s: Column, i: Column, u: Column, k: Column) -> Column:
         return F.struct(
-            unit.alias("common_unit"),
-            best["v"].alias("common_value"),
-            best["r"].alias("log_residual"),
-            F.size(x).alias("n_readings"),
-            rivals.alias("ambiguous"),
-            F.when(by_caption, "caption").otherwise("stated").alias("source"),
+            F.round(number_gap(n["n"]) + scale_gap(s), 6).alias("r"),
+            # the unit comes first in rank, then the notation, then the scale
+            (k * 100 + n["rank"] * 10 + i).alias("rank"),
+            u["unit"].alias("unit"),
+            (n["n"] * s * u["factor"]).alias("v"),
         )
 
-    # a one-element transform evaluates the readings once
-    made = F.get(F.transform(F.array(readings), chosen), F.lit(0))
-    return F.when(unit.isNotNull() & (F.size(notations) > 0), made)
+    readings = F.flatten(F.flatten(F.transform(notations, lambda n: F.transform(scales, lambda s, i: F.transform(units, lambda u, k: read(n, s, i, u, k))))))
+    return F.when(own["unit"].isNotNull() & (F.size(notations) > 0), readings)
 
 
 def common_milli(value: Column) -> Column:

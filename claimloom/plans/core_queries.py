@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators import nested, orphans, units
-from claimloom.session import table
+from claimloom.session import scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,19 @@ def p1_non_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that are off the other facts of their claim by just a scale."""
+    q = units.read_quantities(table(spark, sf_dir, "facts"), units.table_captions(table(spark, sf_dir, "elements")))
+    return units.suspect_scales(q).select("fact_id", "common_unit", units.common_milli(F.col("common_value")).alias("common_milli"), "factor")
+
+
 def _orphan_state(spark: SparkSession, sf_dir: str) -> orphans.OrphanState:
     facts = table(spark, sf_dir, "facts")
-    return orphans.first_state(
+    return orphans.fold_by_month(
         orphans.fact_graph_references(facts, table(spark, sf_dir, "relationship_results")),
         orphans.fact_graph_parents(table(spark, sf_dir, "elements"), facts),
-    )
+        scratch_path(spark, "orphans"),
+    ).state()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ def p6_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.unreadable_records(table(spark, sf_dir, "raw_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_non_unique, p5_found, p5_snapshot, p6_found, p6_elements, p6_unreadable)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_non_unique, p1_suspects, p5_found, p5_snapshot, p6_found, p6_elements, p6_unreadable)}
 
 _REFS = """
 refs_all AS (

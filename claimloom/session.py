@@ -2,13 +2,14 @@
 
 Everything that must outlive a stage (iteration state, tables read more than
 once) is written below the folder named by ``spark.checkpoint.dir``, which all
-executors share.  Only where that setting is absent (tests, a laptop) is a
-folder of our own used.
+executors share.  ``get_spark`` names one for a local master; a session without the
+setting on any other master is refused, as its executors would share no folder.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 def get_spark(app: str = "claimloom", master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A session with the settings the library is written for."""
+    builder = SparkSession.builder.master(master)
+    if re.match(r"local(\[|$)", master):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="claimloom-"))
     return (
-        SparkSession.builder.master(master)
+        builder
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,7 +43,12 @@ def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/") + "/claimloom"
-    return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="claimloom-"))
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext.applicationId not in _fallback:
+        _fallback[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="claimloom-")
+    return _fallback[spark.sparkContext.applicationId]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -56,6 +65,13 @@ def _clean_up() -> None:
             return
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the scratch folder, deleted at exit."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 class Staged:
     """A table written to the scratch folder, which cuts the lineage.
 
@@ -63,11 +79,10 @@ class Staged:
     ``drop`` removes the files once a later stage replaced them.
     """
 
-    def __init__(self, df: DataFrame, label: str = "stage") -> None:
+    def __init__(self, df: DataFrame, label: str = "stage", partition: str | None = None) -> None:
         self.spark = df.sparkSession
-        self.path = f"{scratch_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        _written.append((self.spark, self.path))
+        self.path = scratch_path(self.spark, label)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(self.path)
         self.schema = df.schema
 
     @property

@@ -50,13 +50,18 @@ def match_stream(facts: DataFrame, store: str, out: str, checkpoint: str) -> Str
     return facts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def orphan_stream(facts: DataFrame, to_refs: Callable[[DataFrame], DataFrame], to_events: Callable[[DataFrame], DataFrame], state: orphans.OrphanState, checkpoint: str, on_state: Callable[[orphans.OrphanState, int], None]) -> StreamingQuery:
-    """Fold each batch into the orphan state; ``on_state`` gets the state after every batch, for snapshots."""
-    holder = {"state": state}
+def orphan_stream(facts: DataFrame, to_refs: Callable[[DataFrame], DataFrame], to_events: Callable[[DataFrame], DataFrame], store: orphans.OrphanStore, checkpoint: str, on_batch: Callable[[orphans.OrphanStore, int], None] | None = None) -> StreamingQuery:
+    """Fold each batch into the orphan state on disk; ``on_batch`` gets the store after every batch, for snapshots.
+
+    The store is written under the batch's number, so a batch that is run again replaces itself and a restart goes on.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        holder["state"] = holder["state"].advance(to_refs(batch), to_events(batch)).persist()
-        on_state(holder["state"], number)
+        kept = batch.persist()
+        store.advance(number, to_refs(kept), to_events(kept))
+        kept.unpersist()
+        if on_batch:
+            on_batch(store, number)
 
     return facts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -57,7 +57,37 @@ def test_equals_brute_force(spark):
     want = brute(docs, items)
     assert len(want) > 20
     assert found(spark, docs, items) == want
-    assert found(spark, docs, items, block_words=300) == want
+
+
+def test_a_repetitive_item(spark):
+    # one n-gram covers all words of an item that repeats it
+    phrase, other = "seven grey herons left early ", " ".join(f"v{i}" for i in range(60))
+    items = [(1, phrase * 12), (2, other)]
+    docs = [(1, "x y z " + phrase + "x y z"), (2, phrase * 2), (3, "nothing of it")]
+    assert found(spark, docs, items) == brute(docs, items) == {(1, 1), (2, 1)}
+
+
+def test_edited_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    item = " ".join(words)
+    # every fifth word is another one: no five words in a row are the item's
+    edited = " ".join(f"e{i}" if i % 5 == 4 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, "a b c " * 50 + edited), (2, " ".join(words[:12])), (3, "a b c " * 9), (4, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.alignment, r.copied_words) for r in lk.edited_copies(docs, items).collect()}
+    assert set(got) == {1, 4} and got[4] == (1.0, 60) and got[1][1] == 0 and 0.6 < got[1][0] < 0.8
+
+
+def test_seeds_leave_no_leak_without_one():
+    rnd = np.random.default_rng(7)
+    for _ in range(200):
+        ids = rnd.integers(1, rnd.integers(3, 60), rnd.integers(5, 60)).astype(np.int64)
+        grams = lk.grams_of(ids, lk.SEED)
+        by_gram = {g: rnd.integers(0, 6) for g in set(grams.tolist())}
+        seeds = set(lk.choose_seeds(grams, np.array([by_gram[g] for g in grams.tolist()]), 1 / 3).tolist())
+        at = np.array([g not in seeds and by_gram[g] > 0 for g in grams.tolist()])
+        bare = [k for k in range(len(ids) - 4) if at[k] and at[k + 1]]
+        assert lk.covered(np.array(bare, int), len(ids)).sum() < lk.needed_words(len(ids), 1 / 3)
 
 
 def test_forms_of_a_copy(spark):

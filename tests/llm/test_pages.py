@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import pages as p
 
@@ -60,6 +61,27 @@ def test_all_repairs(spark, max_shared):
     assert set(rows) == want
 
 
+def test_long_and_short_headers(spark):
+    long_ = "Northern Consolidated Shipping and Warehousing Corporation Limited annual report and accounts for the financial year 2023 to 2024"
+    assert len(long_) > 120
+    e = [element(k, 0, f"The committee reviewed schedule {k}.\n{long_}\nIt completed the schedule.", doc="long") for k in range(1, 6)]
+    e += [element(k, 1, "FY", "page_header", doc="long") for k in range(1, 3)] + [element(4, 2, "FY\nThe network.", doc="long")]
+    e += [element(1, 0, "Some Annual Review\nThe network.", doc="titled")]
+    titles = spark.createDataFrame([("titled", "Some annual review"), ("long", None), ("titled", "Some annual review")], "document_id string, title string")
+    rows = p.repair_pages(spark.createDataFrame(e, SCHEMA), titles=titles).where("repair = 'removed'").collect()
+    assert {(r.element_id, r.piece) for r in rows} == {(f"long:p{k}:e0", long_) for k in range(1, 6)} | {("long:p4:e2", "FY"), ("titled:p1:e0", "Some Annual Review")}
+
+
+def test_paragraphs(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    deleted = df.where("element_id LIKE '%p7:e0'").withColumn("is_deleted", F.lit(True)).withColumn("ingested_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    got = {r.element_id.removeprefix("acme-widget-report-fy23-a1b2c3:"): (r.n_elements, r.text) for r in p.paragraphs(df.unionByName(deleted)).collect()}
+    assert got["p1:e1"] == (1, "The committee reviewed the financial schedule of the distribution network during 2021.")
+    # over two page ends, with a cut word
+    assert got["p1:e2"] == (3, "It cost 1,591.47 for the cross-border business and the deferred contract of 2021. The committee completed the schedule during 2021. The network.")
+    assert got["p5:e0"] == (1, "The committee") and "p7:e0" not in got and not {"p1:e0", "p2:e0", "p2:e2", "p3:e2"} & got.keys()
+
+
 def test_empty(spark):
     assert p.repair_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 

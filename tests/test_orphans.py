@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from claimloom.operators import orphans as o
 
 
@@ -27,30 +29,59 @@ def brute(rs, es):
     return out
 
 
-def test_batches_equal_one_pass_and_brute_force(spark):
+def test_batches_equal_one_pass_and_brute_force(spark, tmp_path):
     rnd = random.Random(1)
     rs = list({(f"r{i}", f"k{0 if rnd.random() < 0.3 else rnd.randrange(25)}", day(rnd.randrange(40))) for i in range(150)})
     es = [(f"k{rnd.randrange(20)}", day(rnd.randrange(40)), rnd.random() < 0.3) for _ in range(60)]
-    state = o.OrphanState.empty(spark)
-    for i in range(3):
-        state = state.advance(refs(spark, rs[i::3]), events(spark, es[i::3])).persist()
+    store = o.OrphanStore(spark, str(tmp_path / "s"), 7, 2)
+    for i in range(5):
+        store.advance(i, refs(spark, rs[i::5]), events(spark, es[i::5]))
     want = brute(rs, es)
-    for s in (state, o.first_state(refs(spark, rs), events(spark, es))):
+    monthly = o.fold_by_month(refs(spark, rs), events(spark, es), str(tmp_path / "m")).state()
+    for s in (store.state(), monthly, o.first_state(refs(spark, rs), events(spark, es))):
         got = {(r.row_id, r.ref_id, r.ref_at): (r.in_time, r.status) for r in s.refs.collect()}
         assert got == want
         assert {(r.row_id, r.ref_id) for r in s.unmet().collect()} == {k[:2] for k, v in want.items() if not v[0]}
-    assert sum(r.n_refs for r in state.snapshot().collect()) == len(rs)
-
-
-def test_life_of_one_reference(spark):
-    state = o.OrphanState.empty(spark).advance(refs(spark, [("r", "k", day(5))]), events(spark, []))
-    assert state.refs.first().status == "orphan"
-    state = state.advance(refs(spark, []), events(spark, [("k", day(9), False)]))
-    assert (state.refs.first().status, state.refs.first().resolved_at) == ("resolved", day(9))
-    state = state.advance(refs(spark, []), events(spark, [("k", day(11), True)]))
-    assert state.refs.first().status == "reopened"
-    state = state.advance(refs(spark, []), events(spark, [("k", day(12), False), ("k", day(2), False)]))
-    assert (state.refs.first().status, state.refs.first().in_time) == ("linked", True)
+    assert sum(r.n_refs for r in store.state().snapshot().collect()) == len(rs)
+
+
+def test_life_of_one_reference(spark, tmp_path):
+    store = o.OrphanStore(spark, str(tmp_path / "s"), 4, 3)
+    one = lambda: store.state().refs.first()
+    store.advance(0, refs(spark, [("r", "k", day(5))]), events(spark, []))
+    assert one().status == "orphan"
+    store.advance(1, refs(spark, []), events(spark, [("k", day(9), False)]))
+    assert (one().status, one().resolved_at) == ("resolved", day(9))
+    # a new process goes on from the disk
+    store = o.OrphanStore(spark, str(tmp_path / "s"), 4, 3)
+    store.advance(2, refs(spark, []), events(spark, [("k", day(11), True)]))
+    assert one().status == "reopened" and store.last_batch() == 2
+    store.advance(3, refs(spark, [("r", "k", day(5))]), events(spark, [("k", day(12), False), ("k", day(2), False)]))
+    assert (one().status, one().in_time, one().n) == ("linked", True, 2)
+
+
+def test_a_batch_run_again_replaces_itself(spark, tmp_path):
+    store = o.OrphanStore(spark, str(tmp_path / "s"), 4, 2)
+    store.advance(0, refs(spark, [("r", "k", day(5))]), events(spark, [("k", day(1), False)]))
+    for key in ("x", "k", "k"):  # the first attempts are followed by another one with the same number, a merge among them
+        store.advance(1, refs(spark, [("q", "k", day(6))]), events(spark, [(key, day(7), True)]))
+    assert {(r.row_id, r.n, r.status) for r in store.state().refs.collect()} == {("r", 1, "reopened"), ("q", 1, "reopened")}
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from claimloom.streaming.incremental import orphan_stream
+
+    schema, seen = "kind string, row_id string, key string, at timestamp_ntz", []
+    plain = lambda df, kind: df.where(F.col("kind") == kind)
+    to_refs = lambda df: plain(df, "ref").selectExpr("'t' ref_table", "'c' ref_column", "row_id", "'p' target", "key ref_id", "at ref_at")
+    to_events = lambda df: plain(df, "row").selectExpr("'p' target", "key ref_id", "at", "false is_deleted")
+    for number, rows in enumerate([[("ref", "r", "k", day(5)), ("ref", "q", "j", day(5))], [("row", None, "k", day(3)), ("ref", "z", "k", day(1))]]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        store = o.OrphanStore(spark, str(tmp_path / "s"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        orphan_stream(stream, to_refs, to_events, store, str(tmp_path / "c"), lambda s, n: seen.append(n)).awaitTermination()
+        assert store.last_batch() == number
+    assert {(r.row_id, r.status) for r in store.state().refs.collect()} == {("r", "linked"), ("q", "orphan"), ("z", "resolved")} and seen == [0, 1]
 
 
 def test_odd_keys(spark):

@@ -46,7 +46,10 @@ CASES = [
     ("statutory auditor", None, None, None, None, None, None),
     ("", None, None, None, None, None, None),
     (None, None, "km", None, None, None, None),
-    ("7 " + "x" * 500, None, None, None, None, None, None),
+    # beyond 400 characters
+    ("at least 7 " + "km " + " " * 500, None, None, None, None, "km", 7_000),
+    ("7 " + "x" * 500, None, None, None, None, "count", 7_000),
+    ("7" + ",000" * 1500 + "x", None, None, None, None, None, None),
 ]
 
 
@@ -70,6 +73,34 @@ def test_identity_decides_the_notation(spark):
     assert got["c"].common_value == 1889.0 and got["c"].ambiguous
 
 
+CLAIM = SCHEMA.replace("common_unit", "subject_name string, predicate string, time_value string, common_unit")
+
+
+def test_other_facts_of_the_claim_decide(spark):
+    def fact(i, raw, unit=None, scale=None, num=None, predicate="tonnage", currency=None):
+        return (i, raw, num, unit, currency, scale, [], T, "Acme ", predicate, "FY24", "clash")
+
+    rows = [
+        # restatements of one claim in several units
+        *(fact(f"a{k}", raw, unit, scale, num) for k, (raw, unit, scale, num) in enumerate([("1.889", "t", None, 1.889), ("1889", "kg", None, 1889.0), ("18.89", "quintal", None, 18.89)])),
+        fact("notation", "1,889", "t"),  # 1.889 or 1889 tonnes
+        fact("unit", "4,164.6 pounds"),  # of mass, not of money
+        *(fact(f"b{k}", "5 crore", None, None, None, "profit", "INR") for k in range(3)),
+        fact("conflict", "5", None, "lakh", 5.0, "profit", "INR crore"),  # both scales are stated, one is wrong
+        fact("alone", "12 pounds", predicate="other"),
+        fact("missing", "5", None, None, 5.0, "profit", "INR"),  # states no scale; reported, not replaced
+    ]
+    df = spark.createDataFrame(rows, CLAIM)
+    q = units.read_quantities(df)
+    got = {r.fact_id: r for r in q.collect()}
+    assert got["notation"].common_value == pytest.approx(1.889) and not got["notation"].ambiguous
+    assert got["unit"].common_unit == "tonne" and got["unit"].common_value == pytest.approx(1.889, abs=1e-3)
+    assert got["conflict"].common_value == 5e7 and got["conflict"].log_residual > 4
+    assert got["alone"].common_unit == "GBP" and got["alone"].ambiguous
+    assert got["missing"].common_value == 5.0
+    assert [(r.fact_id, r.factor) for r in units.suspect_scales(q).collect()] == [("missing", 1e7)]
+
+
 def test_caption_gives_the_unit_of_a_bare_number(spark):
     elements = spark.createDataFrame(
         [
