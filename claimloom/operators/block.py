@@ -136,16 +136,39 @@ def candidates(classes: DataFrame) -> DataFrame:
     first it belongs to, and needs no distinct.  Pass 3 is left to ``uncertain_members``:
     its pairs have no subject in common with passes 1 and 2, and all are unresolved.
     """
+    return _candidates(classes, F.lit(True))
+
+
+def disputable(classes: DataFrame) -> DataFrame:
+    """The rows of ``candidates`` that can be a contradiction; the others are never written.
+
+    A contradiction has one stated scope and equal qualifiers on both sides, which are keys
+    of the join, and by CMP-4 the same period or none on a side: the same text or, in other
+    words, the same day or year.
+    """
+    t, c = F.col("time_type"), F.col
+    typed = (
+        F.when(t.isin("specific_date", "as_of_date"), F.concat(F.lit("d"), c("day").cast("string")))
+        .when(t == "fiscal_year", F.concat(F.lit("f"), c("fy").cast("string")))
+        .when(t == "calendar_year", F.concat(F.lit("c"), c("cy").cast("string")))
+    )
+    more = {"_quals": F.xxhash64("quals"), "_none": (t == "unknown") | (c("time_text") == ""), "_words": S.strip(c("time_text")), "_typed": typed}
+    same = c("x._none") | c("y._none") | (c("x._words") == c("y._words")) | F.coalesce(c("x._typed") == c("y._typed"), F.lit(False))
+    on = (c("x.scope") == c("y.scope")) & (c("x._quals") == c("y._quals")) & (c("x.quals") == c("y.quals")) & same
+    return _candidates(classes.where(c("scope") != "unknown"), on, more)
+
+
+def _candidates(classes: DataFrame, more: Column, columns: dict[str, Column] | None = None) -> DataFrame:
     other = S.literal_map({k: "|".join(v) for k, v in compatible_predicates().items()})
-    known = classes.where(~is_general(F.col("subject")) & (F.col("predicate") != ""))
-    side = F.struct(*[c for c in classes.columns if c != "n_members"])
-    rows = known.select("subject", "predicate", "document_id", "fact_id", "fact_type", "value_type", "n_members", side.alias("side"))
+    rows = classes.where(~is_general(F.col("subject")) & (F.col("predicate") != "")).withColumns(columns or {})
     keys = F.split(F.concat_ws("|", F.col("predicate"), F.try_element_at(other, F.col("predicate"))), r"\|")
     x, y = rows.withColumn("key", F.explode(F.when(F.col("predicate").isin(*compatible_predicates()), keys).otherwise(F.array("predicate")))).alias("x"), rows.alias("y")
     on = (F.col("x.subject") == F.col("y.subject")) & (F.col("x.key") == F.col("y.predicate")) & (F.col("x.fact_id") < F.col("y.fact_id")) & (F.col("x.document_id") != F.col("y.document_id"))
     on = on & types_compatible(F.col("x.fact_type"), F.col("y.fact_type"), F.col("x.value_type"), F.col("y.value_type"))
-    return x.join(y, on).select(
-        F.col("x.side").alias("a"), F.col("y.side").alias("b"), F.when(F.col("x.key") == F.col("x.predicate"), 1).otherwise(2).alias("pass_no"), (F.col("x.n_members") * F.col("y.n_members")).alias("n_pairs")
+    # sides are made after the join, so that no column crosses it twice
+    side = lambda x: F.struct(*[F.col(f"{x}.{c}") for c in classes.columns if c != "n_members"])
+    return x.join(y, on & more).select(
+        side("x").alias("a"), side("y").alias("b"), F.when(F.col("x.key") == F.col("x.predicate"), 1).otherwise(2).alias("pass_no"), (F.col("x.n_members") * F.col("y.n_members")).alias("n_pairs")
     )
 
 

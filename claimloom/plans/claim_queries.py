@@ -244,8 +244,8 @@ def _candidate_classes(spark, d):
     return Staged(block.prepared_classes(prepared), "candidate-classes").df
 
 
-def _candidate_relations(classes):
-    m = compare.classify(compare.compare(block.candidates(classes)))
+def _candidate_relations(pairs):
+    m = compare.classify(compare.compare(pairs))
     read = ("fact_id", "document_id", "subject", "predicate", "value_type", "unit", "time_text", "confidence")
     side = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in read)).alias(x)
     # written with the columns reasoning reads, as both steps in one exceed what one generated method may hold
@@ -280,7 +280,7 @@ def candidate_members(spark, d):
 @query
 def candidate_relationships(spark, d):
     """Blocking, comparison and reasoning in one: every pair of classes of passes 1 and 2 with its relationship."""
-    r = _candidate_relations(_candidate_classes(spark, d))
+    r = _candidate_relations(block.candidates(_candidate_classes(spark, d)))
     return r.select(F.col("a.fact_id").alias("class_a"), F.col("b.fact_id").alias("class_b"), "pass_no", "n_pairs", "classification", "relationship", "rel_confidence", "reason")
 
 
@@ -288,7 +288,7 @@ def candidate_relationships(spark, d):
 def candidate_stats(spark, d):
     """Fact pairs per relationship over all passes; those of pass 3 have an unknown subject, so all are unresolved."""
     classes = _candidate_classes(spark, d)
-    related = _candidate_relations(classes).select("relationship", "n_pairs")
+    related = _candidate_relations(block.candidates(classes)).select("relationship", "n_pairs")
     third = block.uncertain_pairs(block.uncertain_members(classes)).select(F.lit("UNRESOLVED").alias("relationship"), (F.col("n_with_known") + F.col("n_general")).alias("n_pairs"))
     return related.unionByName(third).groupBy("relationship").agg(F.sum("n_pairs").alias("n"))
 
@@ -296,7 +296,7 @@ def candidate_stats(spark, d):
 @query
 def candidate_disputes(spark, d):
     """Which (entity, metric, period) claims do two sources disagree on, over all candidate pairs?"""
-    r = _candidate_relations(_candidate_classes(spark, d)).where("relationship = 'CONTRADICTS'")
+    r = _candidate_relations(block.disputable(_candidate_classes(spark, d))).where("relationship = 'CONTRADICTS'")
     # either side may come first: the stated period wins over a blank one
     claim = [F.col("a.subject").alias("subject"), F.least("a.predicate", "b.predicate").alias("predicate"), F.greatest("a.time_text", "b.time_text").alias("period")]
     return r.groupBy(*claim).agg(F.sum("n_pairs").alias("n_disputes"))

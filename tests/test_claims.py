@@ -195,6 +195,28 @@ def test_candidate_chain_equals_nested_loops(spark):
     assert block.prepared_members(compare.prepare(f)).join(classes, F.col("class_id") == classes["fact_id"]).count() == len(rows)
 
 
+def test_disputes_form_only_pairs_that_can_contradict(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(5)
+    periods = [("fiscal_year", "FY2024"), ("fiscal_year", "FY24"), ("fiscal_year", " FY2024 "), ("calendar_year", "2024"), ("specific_date", "2024-03-31"), ("as_of_date", "2024-03-31"), ("quarter", "Q1 FY2024"), (None, None), ("fiscal_year", " "), ("unknown", "FY2024"), ("calendar_year", "FY2024")]
+    rows = []
+    for (kind, at), p in itertools.product(periods, ("revenue", "total_revenue")):
+        for _ in range(5):
+            rows.append(dict(time_type=kind, time_value=at, predicate=p, document_id=rnd.choice("def"), value_raw=(v := rnd.choice("123")), value_num=float(v), scope=rnd.choice(["consolidated", None, "unknown"]), qualifiers=rnd.choice([[], ["audited"], ["unaudited"], None])))
+    classes = block.prepared_classes(compare.prepare(facts(spark, *rows))).cache()
+
+    def contradictions(pairs):
+        r = reason.relate(compare.classify(compare.compare(pairs))).where("relationship = 'CONTRADICTS'")
+        return sorted(tuple(x) for x in r.select("a.fact_id", "b.fact_id", "pass_no", "n_pairs").collect())
+
+    every, few = block.candidates(classes), block.disputable(classes)
+    want = contradictions(every)
+    assert len(want) > 50 and contradictions(few) == want
+    assert few.count() < every.count() / 3
+
+
 def test_uncertain_members_hold_all_pairs(spark):
     import itertools
 
