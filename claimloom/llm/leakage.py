@@ -15,7 +15,8 @@
    An edited copy keeps a high score, as edits only cost their own words:
    ``edited_copies`` are the candidates whose score reaches a share of the item's.
 4. *Exact check.*  ``find_leaks`` are the candidates in which the words of the item
-   inside copied stretches of ``STRETCH`` or more words reach the share.
+   inside copied stretches of ``STRETCH`` or more words reach the share; as the check
+   costs less, it comes before the alignment there, and only what passes is aligned.
 
 Words and n-grams are numbers of 62 bits.
 
@@ -246,10 +247,11 @@ def _passages(documents: DataFrame, marks: Filter) -> DataFrame:
     return documents.mapInArrow(scan, _PASSAGES)
 
 
-def align_items(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def align_items(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text", shared_only: bool = False) -> DataFrame:
     """(doc_id, item_id, item_words, copied_words, share, alignment) of every candidate, aligned and checked.
 
     ``share``: the part of the item's words in copied stretches; ``alignment``: the best score of a passage over the item's own.
+    ``shared_only`` leaves candidates below the share out, before they are aligned.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     numbered = Staged(_numbered_items(items), "leak-items")
@@ -282,6 +284,8 @@ def align_items(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3
             for d, i, words, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 doc, item = words.values.to_numpy(), item.values.to_numpy()
                 copied = int(covered(np.flatnonzero(np.isin(grams_of(item, STRETCH), grams_of(doc, STRETCH))), len(item)).sum())
+                if shared_only and copied < needed_words(len(item), min_share):
+                    continue
                 for passage in np.split(doc, np.flatnonzero(doc == 0)):
                     own = np.flatnonzero(np.isin(passage, item))
                     if len(own):
@@ -308,7 +312,7 @@ def align_items(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The candidates of ``align_items`` that carry the share of an item in copied stretches."""
-    aligned = align_items(documents, items, min_share, doc_id, text)
+    aligned = align_items(documents, items, min_share, doc_id, text, shared_only=True)
     # any copied stretch scores as much; the share decides, counted in whole words
     copied = F.col("alignment") * F.col("item_words") >= STRETCH - 1e-9
     return aligned.where(copied & (F.col("copied_words") >= F.greatest(F.lit(1), F.ceil(F.col("item_words") * min_share - 1e-9))))

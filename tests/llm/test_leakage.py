@@ -59,6 +59,16 @@ def test_equals_brute_force(spark):
     assert found(spark, docs, items) == want
 
 
+def test_only_what_reaches_the_share_is_aligned(spark):
+    docs, items = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    every, few = (sorted(tuple(r) for r in lk.align_items(d, i, shared_only=x).collect()) for x in (False, True))
+    leaks = sorted(tuple(r) for r in lk.find_leaks(d, i).collect())
+    assert leaks == few == [r for r in every if r[3] >= lk.needed_words(r[2], 1 / 3)]
+    assert len(few) < len(every)
+
+
 def test_a_repetitive_item(spark):
     # one n-gram covers all words of an item that repeats it
     phrase, other = "seven grey herons left early ", " ".join(f"v{i}" for i in range(60))
