@@ -143,8 +143,8 @@ def disputable(classes: DataFrame) -> DataFrame:
     """The rows of ``candidates`` that can be a contradiction; the others are never written.
 
     A contradiction has one stated scope and equal qualifiers on both sides, which are keys
-    of the join, and by CMP-4 the same period or none on a side: the same text or, in other
-    words, the same day or year.
+    of the join (qualifiers by a hash; the comparison decides), and by CMP-4 the same period
+    or none on a side: the same text or, in other words, the same day or year.
     """
     t, c = F.col("time_type"), F.col
     typed = (
@@ -154,7 +154,7 @@ def disputable(classes: DataFrame) -> DataFrame:
     )
     more = {"_quals": F.xxhash64("quals"), "_none": (t == "unknown") | (c("time_text") == ""), "_words": S.strip(c("time_text")), "_typed": typed}
     same = c("x._none") | c("y._none") | (c("x._words") == c("y._words")) | F.coalesce(c("x._typed") == c("y._typed"), F.lit(False))
-    on = (c("x.scope") == c("y.scope")) & (c("x._quals") == c("y._quals")) & (c("x.quals") == c("y.quals")) & same
+    on = (c("x.scope") == c("y.scope")) & (c("x._quals") == c("y._quals")) & same
     return _candidates(classes.where(c("scope") != "unknown"), on, more)
 
 
@@ -167,7 +167,8 @@ def _candidates(classes: DataFrame, more: Column, columns: dict[str, Column] | N
     on = on & types_compatible(F.col("x.fact_type"), F.col("y.fact_type"), F.col("x.value_type"), F.col("y.value_type"))
     # sides are made after the join, so that no column crosses it twice
     side = lambda x: F.struct(*[F.col(f"{x}.{c}") for c in classes.columns if c != "n_members"])
-    return x.join(y, on & more).select(
+    # the further conditions leave most pairs out, so they are tried first
+    return x.join(y, more & on).select(
         side("x").alias("a"), side("y").alias("b"), F.when(F.col("x.key") == F.col("x.predicate"), 1).otherwise(2).alias("pass_no"), (F.col("x.n_members") * F.col("y.n_members")).alias("n_pairs")
     )
 

@@ -239,9 +239,8 @@ def disputed_claims(spark, d):
 
 
 def _candidate_classes(spark, d):
-    # both sides of a pair read the classes, so facts are parsed once and written
-    prepared = Staged(compare.prepare(_facts(spark, d)), "prepared-facts").df
-    return Staged(block.prepared_classes(prepared), "candidate-classes").df
+    # both sides of a pair read the classes, so these are written; the facts are read once, by the classes
+    return Staged(block.prepared_classes(compare.prepare(_facts(spark, d))), "candidate-classes").df
 
 
 def _candidate_relations(pairs):
