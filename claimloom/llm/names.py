@@ -538,11 +538,15 @@ def _keys(names: DataFrame, known: Words) -> DataFrame:
 _SHARDED = "shard string, key string, value string"
 
 
-def _sharded_walk(index: DataFrame, queries: DataFrame, search: Callable[[Trie, str, str, str], Iterator[tuple[str, int]]], tasks: int, max_shard: int) -> DataFrame:
+def _sharded_walk(index: DataFrame, queries: DataFrame, search: Callable[[Trie, str, str, str], Iterator[tuple[str, int]]], tasks: int, max_shard: int) -> Staged:
     """(scope, query, value, d) of what ``search(trie, shard, key, value)`` finds for each query in its shards.
 
     index, queries: (shard, key, value); the scope is the shard's name up to the first separator.
+    Both are read several times, so they are written, as is what is found: the driver never
+    plans more than one step at once.
     """
+    shards = [Staged(x, "shards") for x in (index, queries)]
+    index, queries = (x.df for x in shards)
     # a value found alone in its shard by itself needs no walk; queries go to shards that hold something
     sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("only"), F.max("value").alias("last"))
     queries = queries.join(sizes, "shard").where((F.col("only") != F.col("value")) | (F.col("last") != F.col("value")))
@@ -570,11 +574,19 @@ def _sharded_walk(index: DataFrame, queries: DataFrame, search: Callable[[Trie,
                 [*(pa.array([x[i] for x in out], pa.string()) for i in range(3)), pa.array([x[3] for x in out], pa.int32())], names=["scope", "query", "value", "d"]
             )
 
-    return both.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "side").mapInArrow(walk, "scope string, query string, value string, d int")
+    walked = both.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "side").mapInArrow(walk, "scope string, query string, value string, d int")
+    found = Staged(walked, "shards-found")
+    for x in shards:
+        x.drop()
+    return found
 
 
 def trie_join(keys: DataFrame, max_shard: int = MAX_SHARD, tasks: int = 8) -> DataFrame:
     """(scope, query_key, key, d): looked-up keys with the entered keys within their bound."""
+    return _near_keys(keys, max_shard, tasks).df
+
+
+def _near_keys(keys: DataFrame, max_shard: int, tasks: int) -> Staged:
     entered = keys.where("indexed").select("scope", "key").distinct()
     looked_up = keys.where("query").select("scope", "key").distinct()
 
@@ -594,7 +606,9 @@ def trie_join(keys: DataFrame, max_shard: int = MAX_SHARD, tasks: int = 8) -> Da
 
     index, queries = (x.repartition(tasks).mapInArrow(shard(side), _SHARDED) for x, side in ((entered, True), (looked_up, False)))
     found = _sharded_walk(index, queries, search, tasks, max_shard)
-    return found.groupBy("scope", F.col("query").alias("query_key"), F.col("value").alias("key")).agg(F.min("d").alias("d"))
+    near = Staged(found.df.groupBy("scope", F.col("query").alias("query_key"), F.col("value").alias("key")).agg(F.min("d").alias("d")), "name-near")
+    found.drop()
+    return near
 
 
 def link_names(names: DataFrame, known: Words | None = None, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -613,7 +627,7 @@ def name_edges(names: DataFrame, known: Words | None = None, max_shard: int = MA
     n = names.df.count()
     staged = Staged(_keys(names.df.repartition(_tasks(names.df, n)), known), "name-keys")
     keys = staged.df
-    near_staged = Staged(trie_join(keys, max_shard, _tasks(keys, keys.count())), "name-near")
+    near_staged = _near_keys(keys, max_shard, _tasks(keys, keys.count()))
     near = near_staged.df
     queries = keys.where("query").select("scope", F.col("key").alias("query_key"), F.col("s").alias("a"), F.col("full").alias("full_a"))
     entered = keys.where("indexed").select("scope", "key", F.col("s").alias("b"))
@@ -627,7 +641,8 @@ def name_edges(names: DataFrame, known: Words | None = None, max_shard: int = MA
     groups = Staged(connected_groups(strong.df, "a", "b").toDF("b", "group_b"), "name-groups")
     # partial forms: all groups of full names they fit
     exact = queries.where(~full_scope).select("scope", "query_key").distinct().select("scope", "query_key", F.col("query_key").alias("key"), F.lit(0).alias("d"))
-    reach = near.where(~full_scope).unionByName(exact).groupBy("scope", "query_key", "key").agg(F.min("d").alias("d"))
+    reach_staged = Staged(near.where(~full_scope).unionByName(exact).groupBy("scope", "query_key", "key").agg(F.min("d").alias("d")), "name-reach")
+    reach = reach_staged.df
     fits = entered.join(groups.df, "b").groupBy("scope", "key").agg(F.min("group_b").alias("g0"), F.max("group_b").alias("g1"))
     # of the groups in reach only the nearest count
     fit = queries.where(~full_scope).join(reach, ["scope", "query_key"]).join(fits, ["scope", "key"])
@@ -642,7 +657,12 @@ def name_edges(names: DataFrame, known: Words | None = None, max_shard: int = MA
     unsure = queries.where(~full_scope).join(fit.df.where(F.col("g0") != F.col("g1")).select("a"), "a")
     unsure_hub = unsure.groupBy("scope", "query_key").agg(F.min("a").alias("b"))
     unsure = unsure.join(unsure_hub, ["scope", "query_key"]).select("a", "b")
-    return strong.df.unionByName(attached).unionByName(among).unionByName(unsure), [names, staged, near_staged, strong, groups, fit]
+    # each written by itself: a plan of all of them at once, made anew after every stage, is what the driver had no room for
+    rest = [Staged(among, "name-among"), Staged(unsure, "name-unsure")]
+    edges = attached
+    for x in (strong, *rest):
+        edges = edges.unionByName(x.df)
+    return edges, [names, staged, near_staged, strong, groups, reach_staged, fit, *rest]
 
 
 # --- predicates --------------------------------------------------------------
@@ -874,7 +894,7 @@ def predicate_edges(names: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     tasks = _tasks(names, hubs.df.count())
     index, queries = (hubs.df.select("key").repartition(tasks).mapInArrow(shard(side), _SHARDED) for side in (True, False))
     found = _sharded_walk(index, queries, _predicate_search, tasks, max_shard)
-    pairs = found.select(F.least("query", "value").alias("x"), F.greatest("query", "value").alias("y")).distinct()
+    pairs = found.df.select(F.least("query", "value").alias("x"), F.greatest("query", "value").alias("y")).distinct()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -887,9 +907,10 @@ def predicate_edges(names: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     # each looks for more frequent ones
     rarer = F.col("of_x") < F.col("of_y")
     low, high = F.when(rarer, F.col("of_x")).otherwise(F.col("of_y")), F.when(rarer, F.col("of_y")).otherwise(F.col("of_x"))
-    best = matched.select(low["hub"].alias("a"), high.alias("of"), "m").groupBy("a").agg(F.max_by("of.hub", F.struct("m", "of")).alias("b"))
+    best = Staged(matched.select(low["hub"].alias("a"), high.alias("of"), "m").groupBy("a").agg(F.max_by("of.hub", F.struct("m", "of")).alias("b")), "predicate-best")
+    found.drop()
     same = spelt.df.join(hubs.df.select("key", "hub"), "key", "left").select(F.col("s").alias("a"), F.coalesce("hub", "s").alias("b"))
-    return best.unionByName(same)
+    return best.df.unionByName(same)
 
 
 def link_predicates(names: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -912,9 +933,12 @@ def spellings(facts: DataFrame, known: Words | None = None) -> DataFrame:
     marked = lambda edges, mark: edges.select(*(F.concat(F.lit(mark), c).alias(c) for c in ("a", "b")))
     subjects, staged = name_edges(subject_names(facts), known)
     predicates = facts.where(F.col("predicate").isNotNull()).groupBy(F.col("predicate").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    groups = Staged(connected_groups(marked(subjects, "s").unionByName(marked(predicate_edges(predicates), "p")), "a", "b"), "spellings")
+    # read twice by the groups
+    edges = Staged(marked(subjects, "s").unionByName(marked(predicate_edges(predicates), "p")), "edges")
     for x in staged:
         x.drop()
+    groups = Staged(connected_groups(edges.df, "a", "b"), "spellings")
+    edges.drop()
     field_ = F.when(F.startswith("id", F.lit("s")), "subject_name").otherwise("predicate")
     return groups.df.select(field_.alias("name_field"), F.substring("id", 2, 2**31 - 1).alias("s"), F.substring("group_id", 2, 2**31 - 1).alias("group_id"))
 

@@ -132,3 +132,19 @@ def test_pairs_and_empty(spark):
     names = sorted(COMPANIES[1])
     assert got == {("subject_name", a, b) for i, a in enumerate(names) for b in names[i + 1 :]} | {("predicate", "capex", "capital_expenditure")}
     assert n.linked_spellings(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_no_step_plans_more_than_the_driver_holds(spark, monkeypatch):
+    """Steps of one plan are planned anew after every stage of it; the largest had 28 joins and aggregations."""
+    from claimloom import session
+
+    most, write = [], session.Staged.__init__
+
+    def counted(self, df, *args, **more):
+        most.append(df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().sparkPlan().toString().count("HashAggregate"))
+        write(self, df, *args, **more)
+
+    monkeypatch.setattr(session.Staged, "__init__", counted)
+    rows = [(s, "company", p) for g in COMPANIES for s in g for p in ("net profit", "profit net", "revenue")]
+    assert n.spellings(spark.createDataFrame(rows, "subject_name string, subject_type string, predicate string")).count() > 0
+    assert max(most) <= 12, most
