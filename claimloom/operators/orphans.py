@@ -1,19 +1,23 @@
 """References to records that do not exist: a keyed pending-orphan state.
 
-``OrphanStore`` holds two keyed tables on disk, as logs by batch.
+``OrphanStore`` holds keyed tables on disk, as logs by batch.
 
 * ``index``: per parent key the arrival of its first live row, its latest event
   and whether that event was a deletion; rows of one key merge by an aggregation,
   so a batch only adds its own;
-* ``refs``: one row per reference with its status; a later batch adds a row for a
-  reference whose status it changes, and the last row counts.
+* ``refs``, settled: references met in time.  An earlier arrival cannot be undone,
+  so no later batch reads them again; whether their parent is deleted now is a
+  property of its key and comes from the index;
+* ``refs``, waiting: references without a live parent by their time, with the
+  arrival known so far.  A later arrival adds a row; the least arrival counts.
 
 ``advance`` folds a batch of new references and new parent events into the
 state: new references probe the index, arriving parents resolve waiting
-orphans, deletions reopen references and late parent rows with an early arrival
-time heal them.  Only keys touched by the batch are looked at again: logs are
-sorted by key bucket, and only the touched buckets are read.  Every so many
-batches the logs are merged into one base, so that a read never meets more.
+orphans, deletions reopen references by their key and late parent rows with an
+early arrival time heal them.  Of the references of earlier batches only the
+waiting ones are read, of the index only the keys asked for are kept before
+anything is shuffled.  Every so many batches the index and the waiting
+references are merged into one base, so that a read never meets more.
 Feeding events in any number of batches gives the same state as feeding them at
 once (``first_state``).
 
@@ -118,7 +122,9 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 _REF = ["ref_table", "ref_column", "row_id", "target", "ref_id", "ref_at"]
 _KEY = ["target", "ref_id"]
-_STATE = REF_SCHEMA + ", n long, in_time boolean, status string, resolved_at timestamp_ntz"
+_WRITTEN = REF_SCHEMA + ", n long, live_at timestamp_ntz"
+#: References of a batch up to which the hashes of their keys are sent to all tasks that read the index; beyond, the index is shuffled.
+MAX_ASKED = 1_000_000
 
 
 @dataclass
@@ -152,8 +158,8 @@ def first_state(refs: DataFrame, events: DataFrame) -> OrphanState:
 class OrphanStore:
     """See the module text."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, merge_every: int = 16) -> None:
-        self.spark, self.path, self.buckets, self.merge_every = spark, path, buckets, merge_every
+    def __init__(self, spark: SparkSession, path: str, files: int = 64, merge_every: int = 16) -> None:
+        self.spark, self.path, self.files, self.merge_every = spark, path, files, merge_every
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
@@ -171,20 +177,29 @@ class OrphanStore:
         """The number of the last batch folded in."""
         return max((number for number, _, _ in self._kept("refs")), default=None)
 
-    def _log(self, kind: str, schema: str, before: int) -> DataFrame:
-        """Rows of the last base and the batches after it, below a number; ``batch`` orders them."""
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _since_base(self, kind: str, before: int) -> list[str]:
+        """Paths of the last base and the batches after it, below a number."""
         kept = [x for x in self._kept(kind) if x[0] < before]
         base = max((k for k, x in enumerate(kept) if x[1]), default=0)
-        paths = [f"{self.path}/{kind}/{name}" for _, _, name in kept[base:]]
-        if not paths:
-            return self.spark.createDataFrame([], schema + ", bucket int, batch int")
-        return self.spark.read.schema(schema + ", bucket int, batch int").parquet(*paths)
+        return [f"{self.path}/{kind}/{name}" for _, _, name in kept[base:]]
 
-    def _write(self, df: DataFrame, kind: str, name: str) -> None:
-        df.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{self.path}/{kind}/{name}")
+    def _index(self, before: int) -> DataFrame:
+        return self._read(INDEX_SCHEMA + ", h long", self._since_base("index", before))
+
+    def _parts(self, paths: list[str], late: int) -> DataFrame:
+        """The waiting (1) or the settled (0) rows of batches of references."""
+        paths = [f"{x}/late={late}" for x in paths]
+        return self._read(_WRITTEN, [x for x in paths if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x))])
+
+    def _waiting(self, before: int) -> DataFrame:
+        return self._parts(self._since_base("refs", before), 1)
 
-    def _in_buckets(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(self.buckets)).cast("int"))
+    def _write(self, df: DataFrame, kind: str, name: str) -> None:
+        out = df.coalesce(self.files).write.mode("overwrite")
+        (out.partitionBy("late") if kind == "refs" else out).parquet(f"{self.path}/{kind}/{name}")
 
     def advance(self, number: int, new_refs: DataFrame, new_events: DataFrame) -> None:
         """Fold one more batch in; numbers ascend.  A batch run again starts from the batches before it."""
@@ -192,43 +207,50 @@ class OrphanStore:
             for n, base, name in self._kept(kind):
                 if n > number or n == number and base:
                     self._fs.delete(self._path(kind, name), True)
-        self._write(self._in_buckets(build_index(new_events)).withColumn("batch", F.lit(number)), "index", f"batch-{number}")
-        delta = self.spark.read.schema(INDEX_SCHEMA + ", bucket int, batch int").parquet(f"{self.path}/index/batch-{number}")
-        new_refs = self._in_buckets(new_refs.select(_REF))
-        # at most as many numbers as there are buckets
-        touched = [r.bucket for r in delta.select("bucket").union(new_refs.select("bucket")).distinct().collect()]
-        here = F.col("bucket").isin(touched) if len(touched) < self.buckets else F.lit(True)
-        keys = ["bucket", *_KEY]
-        # what is known of the references of these keys; each is looked at again
-        asked = delta.select(keys).union(new_refs.select(keys)).distinct()
-        old = self._log("refs", _STATE, number).where(here).join(asked, keys, "left_semi")
-        old = old.groupBy(*_REF).agg(F.max_by(F.struct("n", "in_time", "status"), "batch").alias("old")).select(*_REF, "old.n", F.struct("old.in_time", "old.status").alias("was"))
-        refs = old.unionByName(new_refs.select(*_REF, F.lit(1).alias("n"), F.lit(None).cast("struct<in_time:boolean,status:string>").alias("was")))
-        refs = refs.groupBy(*_REF).agg(F.sum("n").alias("n"), F.max("was").alias("was"), F.count_if(F.col("was").isNull()).alias("fresh"))
-        index = self._log("index", INDEX_SCHEMA, number).where(here).unionByName(delta).join(asked, keys, "left_semi")
-        probed = probe(self._in_buckets(refs), _merged(index))
-        changed = (F.col("fresh") > 0) | ~F.struct("in_time", "status").eqNullSafe(F.col("was"))
-        self._write(probed.where(changed).drop("was", "fresh").withColumn("batch", F.lit(number)), "refs", f"batch-{number}")
+        self._write(build_index(new_events).withColumn("h", F.xxhash64(*_KEY)), "index", f"batch-{number}")
+        new_refs = new_refs.select(*_REF, F.xxhash64(*_KEY).alias("h"))
+        known = self._index(number + 1).where(F.col("live_at").isNotNull())
+        if new_refs.count() <= MAX_ASKED:
+            known = known.join(F.broadcast(new_refs.select("h")), "h", "left_semi")
+        known = known.groupBy(*_KEY).agg(F.min("live_at").alias("live_at"))
+        new = new_refs.join(known, _KEY, "left").select(*_REF, F.lit(1).cast("long").alias("n"), "live_at")
+        new = new.withColumn("late", (~F.coalesce(F.col("live_at") <= F.col("ref_at"), F.lit(False))).cast("int"))
+        # what waits for parents of this batch; the reference was counted when it came
+        came = self._read(INDEX_SCHEMA, [f"{self.path}/index/batch-{number}"]).where(F.col("live_at").isNotNull()).select(*_KEY, F.col("live_at").alias("came"))
+        met = self._waiting(number).join(came, _KEY).where(F.col("live_at").isNull() | (F.col("came") < F.col("live_at")))
+        met = met.select(*_REF, F.lit(0).cast("long").alias("n"), F.col("came").alias("live_at"), F.lit(1).alias("late")).distinct()
+        self._write(new.unionByName(met), "refs", f"batch-{number}")
         if number % self.merge_every == self.merge_every - 1:
             self._merge(number)
 
     def _merge(self, number: int) -> None:
-        """Write all up to a batch as one base, and drop what no batch after the base before it reads."""
-        index = _merged(self._log("index", INDEX_SCHEMA, number + 1))
-        self._write(self._in_buckets(index).withColumn("batch", F.lit(number)), "index", f"base-{number}")
-        self._write(self._in_buckets(self.state(number).refs).withColumn("batch", F.lit(number)), "refs", f"base-{number}")
+        """Write the index and what waits after a batch as one base, and drop what no batch after the base before it reads."""
+        self._write(_merged(self._index(number + 1)).withColumn("h", F.xxhash64(*_KEY)), "index", f"base-{number}")
+        self._write(_counted(self._waiting(number + 1)).withColumn("late", F.lit(1)), "refs", f"base-{number}")
         for kind in ("index", "refs"):
             bases = [n for n, base, _ in self._kept(kind) if base]
             for n, base, name in self._kept(kind):
                 if len(bases) > 1 and (n < bases[-2] or n == bases[-2] and not base):
-                    self._fs.delete(self._path(kind, name), True)
+                    # settled references are in no base
+                    self._fs.delete(self._path(kind, name, *["late=1"] * (kind == "refs")), True)
 
     def state(self, up_to: int | None = None) -> OrphanState:
         """All references as they stand after a batch, by default the last."""
         last = self.last_batch() if up_to is None else up_to
-        log = self._log("refs", _STATE, 0 if last is None else last + 1)
-        rest = ["n", "in_time", "status", "resolved_at"]
-        return OrphanState(log.groupBy(*_REF).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*_REF, "r.*"))
+        before = 0 if last is None else last + 1
+        settled = self._parts([f"{self.path}/refs/{name}" for n, base, name in self._kept("refs") if n < before and not base], 0)
+        waiting = _counted(self._waiting(before)).withColumn("in_time", F.coalesce(F.col("live_at") <= F.col("ref_at"), F.lit(False)))
+        gone = _merged(self._index(before)).where("last_deleted").select(*_KEY, F.lit(True).alias("gone"))
+        rows = settled.withColumn("in_time", F.lit(True)).unionByName(waiting).join(gone, _KEY, "left")
+        status = F.when(F.col("live_at").isNull(), "orphan").when(F.col("gone"), "reopened").when(F.col("in_time"), "linked").otherwise("resolved")
+        at = F.when(F.col("in_time"), F.col("ref_at")).otherwise(F.col("live_at"))
+        # a reference may have come in several batches
+        return OrphanState(rows.groupBy(*_REF, "in_time", status.alias("status"), at.alias("resolved_at")).agg(F.sum("n").alias("n")))
+
+
+def _counted(waiting: DataFrame) -> DataFrame:
+    """One row per waiting reference of a log."""
+    return waiting.groupBy(*_REF).agg(F.sum("n").alias("n"), F.min("live_at").alias("live_at"))
 
 
 def _merged(index: DataFrame) -> DataFrame:
@@ -240,7 +262,7 @@ def _merged(index: DataFrame) -> DataFrame:
     )
 
 
-def fold_by_month(refs: DataFrame, events: DataFrame, path: str, buckets: int = 16) -> OrphanStore:
+def fold_by_month(refs: DataFrame, events: DataFrame, path: str, files: int = 16) -> OrphanStore:
     """References and parent events folded month by month; those without a time come with the first."""
     spark = refs.sparkSession
     month = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit(""))
@@ -248,7 +270,7 @@ def fold_by_month(refs: DataFrame, events: DataFrame, path: str, buckets: int =
     spread = lambda df: df.repartition("month", F.pmod(F.xxhash64(*_KEY), F.lit(4)))
     by_month = [Staged(spread(df.withColumn("month", month(at))), label, partition="month") for df, at, label in ((refs, "ref_at", "month-refs"), (events, "at", "month-events"))]
     r, e = (x.df for x in by_month)
-    store = OrphanStore(spark, path, buckets)
+    store = OrphanStore(spark, path, files)
     months = r.select("month").union(e.select("month")).distinct().orderBy("month").collect()
     for number, (m,) in enumerate(months):
         store.advance(number, r.where(F.col("month").eqNullSafe(m)), e.where(F.col("month").eqNullSafe(m)))
