@@ -139,6 +139,16 @@ def candidates(classes: DataFrame) -> DataFrame:
     return _candidates(classes, F.lit(True))
 
 
+def typed_period() -> Column:
+    """The day or year that a prepared period names in whatever words, or null; two of one type are the same if these are."""
+    t, c = F.col("time_type"), F.col
+    return (
+        F.when(t.isin("specific_date", "as_of_date"), F.concat(F.lit("d"), c("day").cast("string")))
+        .when(t == "fiscal_year", F.concat(F.lit("f"), c("fy").cast("string")))
+        .when(t == "calendar_year", F.concat(F.lit("c"), c("cy").cast("string")))
+    )
+
+
 def disputable(classes: DataFrame) -> DataFrame:
     """The rows of ``candidates`` that can be a contradiction; the others are never written.
 
@@ -147,20 +157,20 @@ def disputable(classes: DataFrame) -> DataFrame:
     or none on a side: the same text or, in other words, the same day or year.
     """
     t, c = F.col("time_type"), F.col
-    typed = (
-        F.when(t.isin("specific_date", "as_of_date"), F.concat(F.lit("d"), c("day").cast("string")))
-        .when(t == "fiscal_year", F.concat(F.lit("f"), c("fy").cast("string")))
-        .when(t == "calendar_year", F.concat(F.lit("c"), c("cy").cast("string")))
-    )
-    more = {"_quals": F.xxhash64("quals"), "_none": (t == "unknown") | (c("time_text") == ""), "_words": S.strip(c("time_text")), "_typed": typed}
+    more = {"_quals": F.xxhash64("quals"), "_none": (t == "unknown") | (c("time_text") == ""), "_words": S.strip(c("time_text")), "_typed": typed_period()}
     same = c("x._none") | c("y._none") | (c("x._words") == c("y._words")) | F.coalesce(c("x._typed") == c("y._typed"), F.lit(False))
     on = (c("x.scope") == c("y.scope")) & (c("x._quals") == c("y._quals")) & same
     return _candidates(classes.where(c("scope") != "unknown"), on, more)
 
 
+def known_classes(classes: DataFrame) -> DataFrame:
+    """The classes that passes 1 and 2 pair."""
+    return classes.where(~is_general(F.col("subject")) & (F.col("predicate") != ""))
+
+
 def _candidates(classes: DataFrame, more: Column, columns: dict[str, Column] | None = None) -> DataFrame:
     other = S.literal_map({k: "|".join(v) for k, v in compatible_predicates().items()})
-    rows = classes.where(~is_general(F.col("subject")) & (F.col("predicate") != "")).withColumns(columns or {})
+    rows = known_classes(classes).withColumns(columns or {})
     keys = F.split(F.concat_ws("|", F.col("predicate"), F.try_element_at(other, F.col("predicate"))), r"\|")
     x, y = rows.withColumn("key", F.explode(F.when(F.col("predicate").isin(*compatible_predicates()), keys).otherwise(F.array("predicate")))).alias("x"), rows.alias("y")
     on = (F.col("x.subject") == F.col("y.subject")) & (F.col("x.key") == F.col("y.predicate")) & (F.col("x.fact_id") < F.col("y.fact_id")) & (F.col("x.document_id") != F.col("y.document_id"))

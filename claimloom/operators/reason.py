@@ -9,6 +9,35 @@ from claimloom.functions import scalar as S
 from claimloom.functions import vocab as V
 from claimloom.operators.compare import transition
 
+# factor, ceiling and reason of each context that reconciles two values
+_CONTEXTS = [
+    (0.90, 0.92, "status transition"),
+    (0.92, 0.94, "different reporting periods"),
+    (0.85, 0.88, "differing reporting durations"),
+    (0.90, 0.92, "different reporting scopes"),
+    (0.82, 0.85, "different qualifiers"),
+    (0.82, 0.86, "different metric dimensions"),
+]
+#: Per branch: relationship, factor on the facts' confidence (0: none), least, most, reason.
+OUTCOMES = [
+    ("UNRELATED", 0.0, 0.98, 0.98, "different entities"),
+    ("UNRESOLVED", 0.0, 0.50, 0.50, "unresolved entity"),
+    ("CORROBORATES", 0.96, 0.5, 0.98, "numerically equivalent"),
+    ("CORROBORATES", 0.90, 0.5, 0.95, "within the approximation tolerance or bound"),
+    ("CORROBORATES", 0.98, 0.5, 0.99, "same value"),
+    *(("CONTEXTUALLY_RECONCILED", x, 0.5, hi, why) for x, hi, why in _CONTEXTS),
+    ("CONTRADICTS", 0.94, 0.5, 0.96, "materially different values"),
+    ("CONTRADICTS", 0.82, 0.5, 0.88, "materially different values"),
+    ("UNRESOLVED", 0.0, 0.55, 0.55, "context does not establish a conflict"),
+    ("UNRESOLVED", 0.0, 0.50, 0.50, "insufficient context"),
+]
+
+
+def branch_confidence(least: Column, outcome: tuple) -> Column:
+    """Of one branch, by the lesser confidence of the two facts; it never falls as that one grows."""
+    _, factor, lo, hi, _ = outcome
+    return F.round(F.least(F.lit(hi), F.greatest(F.lit(lo), least * factor)), 4) if factor else F.lit(lo)
+
 
 def relate(classified: DataFrame) -> DataFrame:
     """RSN-1..9, RSN-11: relationship, confidence, reason, explanation, source_independence."""
@@ -30,16 +59,9 @@ def relate(classified: DataFrame) -> DataFrame:
     corroborates = same_claim & ~turned & (s("time") != "different") & (s("scope") != "different") & agrees
     converted = (s("value") == "equivalent") | (s("unit") == "converted")
     changed = entity & (predicate | turned) & typed
-    # name, condition, factor, ceiling, reason
-    contexts = [
-        (turned, 0.90, 0.92, "status transition"),
-        (s("time") == "different", 0.92, 0.94, "different reporting periods"),
-        (s("time").isin("overlapping", "contained"), 0.85, 0.88, "differing reporting durations"),
-        (s("scope") == "different", 0.90, 0.92, "different reporting scopes"),
-        (s("qualifiers") == "different", 0.82, 0.85, "different qualifiers"),
-        (dimension, 0.82, 0.86, "different metric dimensions"),
-    ]
-    reconciled = changed & S.any_of([c for c, *_ in contexts])
+    # in the order of _CONTEXTS
+    contexts = [turned, s("time") == "different", s("time").isin("overlapping", "contained"), s("scope") == "different", s("qualifiers") == "different", dimension]
+    reconciled = changed & S.any_of(contexts)
     contradicts = same_claim & (s("scope") == "same") & ~s("time").isin("different", "overlapping", "contained") & (s("value") == "different") & ~dimension
 
     # the branch and the first context are found once; the results are read off them
@@ -47,25 +69,12 @@ def relate(classified: DataFrame) -> DataFrame:
         F.when(apart, 0)
         .when(open_, 1)
         .when(corroborates, F.when(converted, 2).when(s("value") == "compatible", 3).otherwise(4))
-        .when(reconciled, 5 + F.coalesce(*(F.when(c, i) for i, (c, *_) in enumerate(contexts))))
+        .when(reconciled, 5 + F.coalesce(*(F.when(c, i) for i, c in enumerate(contexts))))
         .when(contradicts, F.when(s("time") == "same", 11).otherwise(12))
         .when(entity & predicate & (s("value") == "different"), 13)
         .otherwise(14)
     )
-    # per branch: relationship, factor on the facts' confidence (0: none), least, most, reason
-    outcome = [
-        ("UNRELATED", 0.0, 0.98, 0.98, "different entities"),
-        ("UNRESOLVED", 0.0, 0.50, 0.50, "unresolved entity"),
-        ("CORROBORATES", 0.96, 0.5, 0.98, "numerically equivalent"),
-        ("CORROBORATES", 0.90, 0.5, 0.95, "within the approximation tolerance or bound"),
-        ("CORROBORATES", 0.98, 0.5, 0.99, "same value"),
-        *(("CONTEXTUALLY_RECONCILED", x, 0.5, hi, why) for _, x, hi, why in contexts),
-        ("CONTRADICTS", 0.94, 0.5, 0.96, "materially different values"),
-        ("CONTRADICTS", 0.82, 0.5, 0.88, "materially different values"),
-        ("UNRESOLVED", 0.0, 0.55, 0.55, "context does not establish a conflict"),
-        ("UNRESOLVED", 0.0, 0.50, 0.50, "insufficient context"),
-    ]
-    pick = lambda k: F.array(*(F.lit(o[k]) for o in outcome))[F.col("_branch")]
+    pick = lambda k: F.array(*(F.lit(o[k]) for o in OUTCOMES))[F.col("_branch")]
     label, reason, lit = pick(0), pick(4), F.lit
     confidence = F.least(pick(3), F.greatest(pick(2), F.coalesce(b, F.lit(0.0)) * pick(1)))
     same_doc = F.coalesce(F.col("a.document_id") == F.col("b.document_id"), lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalar as S
-from claimloom.operators import block, canonical, compare, context, extract, knowledge, reason, select, validate
+from claimloom.operators import block, canonical, chain, compare, context, extract, knowledge, reason, select, validate
 from claimloom.session import Staged, table
 
 QUERIES = {}
@@ -279,8 +279,7 @@ def candidate_members(spark, d):
 @query
 def candidate_relationships(spark, d):
     """Blocking, comparison and reasoning in one: every pair of classes of passes 1 and 2 with its relationship."""
-    r = _candidate_relations(block.candidates(_candidate_classes(spark, d)))
-    return r.select(F.col("a.fact_id").alias("class_a"), F.col("b.fact_id").alias("class_b"), "pass_no", "n_pairs", "classification", "relationship", "rel_confidence", "reason")
+    return chain.relations(chain.pairs(_candidate_classes(spark, d)))
 
 
 @query

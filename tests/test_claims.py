@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalar as S
-from claimloom.operators import block, compare, extract, knowledge, reason, select, validate
+from claimloom.operators import block, chain, compare, extract, knowledge, reason, select, validate
 from claimloom.streaming import incremental
 
 T = dt.datetime(2024, 1, 1)
@@ -281,3 +281,62 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.fact_a, r.fact_b) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == whole and len(whole) > 10
+
+
+def various(spark):
+    """Facts of one subject that differ in all that comparisons read."""
+    import random
+
+    rnd = random.Random(11)
+    periods = [("fiscal_year", "FY2024"), ("fiscal_year", "FY24"), ("fiscal_year", "FY2023"), ("calendar_year", "2024"), ("calendar_year", "2022"), ("specific_date", "2024-03-31"), ("as_of_date", "2024-03-31"), ("quarter", "Q1 FY2024"), ("fiscal_year", "Q1 FY2024"), (None, None), ("fiscal_year", " "), ("date_range", "some time")]
+    values = [("5", 5.0), ("5", None), ("5.1", 5.1), ("500", 500.0), ("0.05", 0.05), ("0", 0.0), ("n.a.", None), ("", None), ("5", float("nan"))]
+    kinds = [("numerical", "currency"), ("numerical", "percentage"), ("numerical", "number"), ("event", "text"), ("attribute", "entity"), ("semantic", None), (None, "quantity")]
+    rows = []
+    for _ in range(600):
+        (kind, at), (raw, num), (ft, vt) = rnd.choice(periods), rnd.choice(values), rnd.choice(kinds)
+        row = dict(time_type=kind, time_value=at, time_start=rnd.choice([None, None, "2024-03-31"]), value_raw=raw, value_num=num, fact_type=ft, value_type=vt, document_id=rnd.choice("def"), confidence=rnd.choice([0.95, 0.8, 0.123456, 1.7, -0.2, None, float("nan")]))
+        row |= dict(predicate=rnd.choice(["revenue", "total_revenue", "operates", "facilities", "fulfilment_centres", "appointed", "resigned"]), scope=rnd.choice(["consolidated", "India", None, "unknown"]), qualifiers=rnd.choice([[], ["audited"], ["unaudited"], ["estimated", "audited"], ["approximately"], None]))
+        row |= dict(currency=rnd.choice([None, "₹", "INR", "USD"]), unit=rnd.choice([None, None, "%", "kg"]), scale=rnd.choice([None, "crore", "million"]), value_qualifier=rnd.choice([None, None, "greater_than", "less_than", "approximate"]), subject_name=rnd.choice(["Acme", "Acme", "Other", "It"]))
+        rows.append(row)
+    return facts(spark, *rows, *rows[:9])
+
+
+def test_one_step_chain_equals_its_steps(spark):
+    classes = block.prepared_classes(compare.prepare(various(spark))).cache()
+    r = reason.relate(compare.classify(compare.compare(block.candidates(classes))))
+    want = r.select(F.col("a.fact_id").alias("class_a"), F.col("b.fact_id").alias("class_b"), "pass_no", "n_pairs", "classification", "relationship", "rel_confidence", "reason")
+    got = chain.relations(chain.pairs(classes))
+    assert got.dtypes == want.dtypes
+    rows = lambda df: sorted(map(repr, df.collect()))
+    have = rows(got)
+    assert have == rows(want) and len(have) > 3000
+    # every branch that such pairs can reach was there
+    assert {x.reason for x in want.select("reason").distinct().collect()} >= {o[4] for o in reason.OUTCOMES[2:]} - {"status transition"}
+    assert {x.pass_no for x in got.select("pass_no").distinct().collect()} == {1, 2}
+
+
+def test_comparable_predicates_are_their_own_keys(spark):
+    # the one-step chain looks transitions up by plain predicates, reasoning by their keys
+    names = spark.createDataFrame([(p,) for p in compare.compatible_predicates()], "p string")
+    assert names.where(S.underscore_key(F.col("p")) != F.col("p")).count() == 0
+
+
+def test_candidate_pairs_are_compiled(spark, tmp_path):
+    """The virtual machine compiles no method of more than 8,000 bytes; candidate_relationships ran many minutes for that."""
+    import re
+
+    from claimloom.plans import claim_queries
+
+    various(spark).write.parquet(str(tmp_path / "facts.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = claim_queries.QUERIES["candidate_relationships"](spark, str(tmp_path))
+        code = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in plan and plan.count("ReusedExchange") == 1
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
