@@ -84,12 +84,11 @@ def _family() -> Column:
 def pairs(classes: DataFrame) -> DataFrame:
     """The pairs of ``block.candidates``, as ``sides`` under x and y.
 
-    Both sides are the same rows, laid out once by subject and family of predicates; what
-    ``sides`` adds is found after that, so it is not moved.
+    Both sides are the same rows, made once and laid out by subject and family of predicates.
     """
     c, spark = F.col, classes.sparkSession
     n = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sides(block.known_classes(classes).withColumn("family", _family()).repartition(n, "subject", "family"))
+    rows = sides(block.known_classes(classes).withColumn("family", _family())).repartition(n, "subject", "family")
     fits = (c("x.fact_type") == c("y.fact_type")) | (c("x.kind").bitwiseAND(c("y.kind")) != 0)
     comparable = (c("x.predicate") == c("y.predicate")) | compatible(c("x.predicate"), c("y.predicate"))
     on = (c("x.subject") == c("y.subject")) & (c("x.family") == c("y.family")) & (c("x.fact_id") < c("y.fact_id")) & (c("x.document_id") != c("y.document_id")) & fits & comparable
@@ -144,7 +143,8 @@ def relations(paired: DataFrame, tolerance: float = 0.05) -> DataFrame:
     turned = _turned(V.TRANSITIONS_REASONING)
     scoped = (x("scope") != "unknown") & (y("scope") != "unknown")
     differs = scoped & (x("scope") != y("scope"))
-    opposed = x("opposed").bitwiseAND(y("marks")) != 0
+    # asked from both sides, so that both read the same columns and share one shuffle
+    opposed = (x("opposed").bitwiseAND(y("marks")) != 0) | (y("opposed").bitwiseAND(x("marks")) != 0)
     approximate = x("marks").bitwiseOR(y("marks")).bitwiseAND(F.lit(_APPROXIMATE)) != 0
     qualified = (x("quals") != y("quals")) & (opposed | ~(approximate & agrees))
     dimension = x("percent") != y("percent")

@@ -238,9 +238,9 @@ def disputed_claims(spark, d):
     return r.groupBy(F.col("a.subject").alias("subject"), F.col("a.predicate").alias("predicate"), F.col("a.time_text").alias("period")).agg(F.count(F.lit(1)).alias("n_disputes"))
 
 
-def _candidate_classes(spark, d):
+def _candidate_classes(spark, d, release=False):
     # both sides of a pair read the classes, so these are written; the facts are read once, by the classes
-    return Staged(block.prepared_classes(compare.prepare(_facts(spark, d))), "candidate-classes").df
+    return Staged(block.prepared_classes(compare.prepare(_facts(spark, d))), "candidate-classes", release=release).df
 
 
 def _candidate_relations(pairs):
@@ -279,7 +279,7 @@ def candidate_members(spark, d):
 @query
 def candidate_relationships(spark, d):
     """Blocking, comparison and reasoning in one: every pair of classes of passes 1 and 2 with its relationship."""
-    return chain.relations(chain.pairs(_candidate_classes(spark, d)))
+    return chain.relations(chain.pairs(_candidate_classes(spark, d, release=True)))
 
 
 @query

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "claimloom", master: str = "local[8]", partitions: int = 8) -> SparkSession:
@@ -76,13 +77,22 @@ class Staged:
     """A table written to the scratch folder, which cuts the lineage.
 
     A lost executor costs nothing, since the files live in the shared folder.
-    ``drop`` removes the files once a later stage replaced them.
+    ``drop`` removes the files once a later stage replaced them.  With ``release`` the
+    shuffle files of the write go as soon as it is done, not when the driver happens to
+    collect its garbage.
     """
 
-    def __init__(self, df: DataFrame, label: str = "stage", partition: str | None = None) -> None:
+    def __init__(self, df: DataFrame, label: str = "stage", partition: str | None = None, release: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
-        (df.write.partitionBy(partition) if partition else df.write).parquet(self.path)
+        before = self.spark.conf.get(_CLEAN_UP, "false")
+        if release:
+            self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            (df.write.partitionBy(partition) if partition else df.write).parquet(self.path)
+        finally:
+            if release:
+                self.spark.conf.set(_CLEAN_UP, before)
         self.schema = df.schema
 
     @property

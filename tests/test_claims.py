@@ -340,3 +340,17 @@ def test_candidate_pairs_are_compiled(spark, tmp_path):
     assert "SortMergeJoin" in plan and plan.count("ReusedExchange") == 1
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
+
+
+def test_staged_table_releases_its_shuffles(spark):
+    from claimloom import session
+
+    live = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = live()
+    assert session.Staged(df, "kept").df.count() == 7 and live() > before
+    spark.sparkContext._jvm.System.gc()
+    kept = live()
+    held = session.Staged(df, "released", release=True)
+    assert live() <= kept
+    assert held.df.count() == 7 and spark.conf.get(session._CLEAN_UP) == "false"
